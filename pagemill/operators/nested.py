@@ -110,7 +110,8 @@ def _own(kind: str, node: dict) -> str:
         own |= dict(zip(("x0", "y0", "x1", "y1"), box, strict=False))
     elif isinstance(box, dict):
         own |= {k: box[k] for k in ("x0", "y0", "x1", "y1") if k in box}
-    return json.dumps(own)  # escapes keep any code point safe for Arrow
+    text = json.dumps(own)
+    return _clean(json.dumps(own, ensure_ascii=False)) if "\\ud" in text else text
 
 
 def _tagged(with_payload: bool, schema: pa.Schema):
