@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.mixing import mix_sources
 from pagemill.llm.splitting import split_pieces
+from pagemill.llm.visual import print_classes, same_print_pairs, with_forms
 from pagemill.session import table
 
 
@@ -19,6 +20,18 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_pieces(table(spark, d, "page_markdown"), table(spark, d, "split_limits")).withColumnRenamed("id", "md_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_print_pairs(table(spark, d, "spans"), "span_id", "doc_id", "text", "loaded_at").toDF("span_id_a", "span_id_b")
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return print_classes(table(spark, d, "spans"), "span_id", "doc_id", "text", "loaded_at").withColumnRenamed("id", "span_id")
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    return with_forms(table(spark, d, "spans").select("span_id", "text"))
+
+
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[0].withColumnRenamed("id", "doc_id")
 
@@ -27,7 +40,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_selection": p7_selection, "p7_shares": p7_shares}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms, "p7_selection": p7_selection, "p7_shares": p7_shares}
 
 ORACLES = {
     "p3_found": r"""

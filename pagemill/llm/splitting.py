@@ -40,6 +40,8 @@ from pyspark.sql.window import Window
 FORCED, WORD, CLAUSE, SENTENCE, INNER_LINE, LINE, ITEM, EDGE, BLANK, HEADING = range(10)
 NAMES = ("forced", "word", "clause", "sentence", "inner_line", "line", "item", "edge", "blank", "heading")
 
+#: zero-width joiner and variation selectors: they belong to their neighbours
+JOINERS = (chr(0x200D), chr(0xFE0E), chr(0xFE0F))
 _SPACE = re.compile(r"[ \t\r\n]+")
 _NEWLINE = re.compile(r"\r\n|\r|\n")
 _FENCE = re.compile(r"[ ]{0,3}(`{3,}|~{3,})")
@@ -98,7 +100,7 @@ def line_boundaries(text: str) -> dict[int, int]:
 def _clean_place(text: str, at: int, low: int) -> int:
     """The last place in (low, at] that parts neither CR LF nor a combined character."""
     i = at
-    while i > low + 1 and i < len(text) and (unicodedata.combining(text[i]) or text[i] in "‍︎️" or text[i - 1] == "‍" or (text[i] == "\n" and text[i - 1] == "\r")):
+    while i > low + 1 and i < len(text) and (unicodedata.combining(text[i]) or text[i] in JOINERS or text[i - 1] == JOINERS[0] or (text[i] == "\n" and text[i - 1] == "\r")):
         i -= 1
     return i if i > low + 1 or at == low + 1 else at
 
