@@ -19,9 +19,11 @@ about 3 MB whatever the corpus. The search is a narrow map, once per distinct va
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.visual import LOOK_ALIKES
+
 PAIR_BITS, CHAR_BITS = 18, 16
 #: a pair that carries less than this share of the mutual information counts as improbable
-RARE = 2e-4
+RARE = 1e-3
 FLOOR = 2e-8
 #: nats a restoration must win, in total and for each character it changes
 MARGIN_UTF8, MARGIN_8BIT, PER_CHAR = 3.0, 6.0, 2.0
-#: how much longer than the strongest evidence a restored text may be searched
+#: mean improbability a restored run may have in the pairs that hold a non-ASCII character
+WORST_UTF8, WORST_8BIT = 6.5, 2.0
+#: misreadings on top of each other that are undone
 ROUNDS = 3
 
 # Names of the single-byte encodings that text is commonly misread with.
@@ -98,29 +104,45 @@ def char_bucket(a: np.ndarray) -> np.ndarray:
 
 
 def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(("\n" + text + "\n").encode("utf-32-le", "replace"), dtype=np.uint32)
+    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+
 
+#: a restored character must stand in the corpus at least this often
+SEEN = 3
 
-class PairScores:
-    """Improbability of adjacent pairs: log(RARE / share of the mutual information)."""
+
+class PairScores(dict):
+    """Improbability of adjacent pairs: log(RARE / share of the mutual information), by pair;
+    computed on first use and kept."""
 
     def __init__(self, pairs: np.ndarray, chars: np.ndarray):
-        self.pairs, self.total = pairs, max(float(pairs.sum()), 1.0)
-        self.chars = np.maximum(chars, 0.5) / max(float(chars.sum()), 1.0)
+        super().__init__()
+        self.pairs, self.chars = pairs, chars
+        self.n_pairs, self.n_chars = max(float(pairs.sum()), 1.0), max(float(chars.sum()), 1.0)
+
+    def __missing__(self, pair: str) -> float:
+        if len(self) > 1_000_000:
+            self.clear()
+        c = code_points(pair)
+        n, (na, nb) = self.pairs[pair_bucket(c[:1], c[1:])[0]], self.chars[char_bucket(c)]
+        p = n / self.n_pairs
+        pmi = math.log(max(p, 1e-12) / (max(na, 0.5) / self.n_chars * (max(nb, 0.5) / self.n_chars)))
+        self[pair] = got = math.log(RARE / max(p * min(max(pmi, 0.5), 6.0), FLOOR))
+        return got
 
-    def scores(self, text: str) -> np.ndarray:
-        c = code_points(text)
-        p = self.pairs[pair_bucket(c[:-1], c[1:])] / self.total
-        with np.errstate(divide="ignore"):
-            pmi = np.log(np.maximum(p, 1e-12) / (self.chars[char_bucket(c[:-1])] * self.chars[char_bucket(c[1:])]))
-        return np.log(RARE / np.maximum(p * np.clip(pmi, 0.5, 6.0), FLOOR))
+    def known(self, text: str) -> bool:
+        return bool((self.chars[char_bucket(code_points(text))] >= SEEN).all()) if text else True
 
+    def scores(self, text: str) -> list[float]:
+        t = f"\n{text}\n"
+        return list(map(self.__getitem__, map(add, t, t[1:])))
 
-def segments(scores: np.ndarray) -> list[tuple[int, int]]:
+
+def segments(scores: list[float]) -> list[tuple[int, int]]:
     """All maximal-scoring segments [i, j) of positive total, left to right (linear time)."""
     stack: list[tuple[int, int, float, float]] = []
     total = 0.0
-    for k, s in enumerate(scores.tolist()):
+    for k, s in enumerate(scores):
         if s > 0:
             seg = (k, k + 1, total, total + s)
             total += s
@@ -138,42 +160,99 @@ def segments(scores: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _, _ in stack]
 
 
-def _best(text: str, lo: int, hi: int, model: PairScores) -> tuple[float, str, str] | None:
+@lru_cache(65_536)
+def _utf8_chains(run: str, depth: int = ROUNDS) -> tuple[tuple[str, str], ...]:
+    """Texts that come of undoing one or more UTF-8 misreadings, with their mappings."""
+    out: dict[str, str] = {}
+    front = {run: ""}
+    for _ in range(depth):
+        nxt: dict[str, str] = {}
+        for text, how in front.items():
+            for wrong in WRONG:
+                new, n = unread_utf8(text, wrong)
+                if n and new not in out and new != run:
+                    nxt.setdefault(new, f"{how}; utf-8 as {wrong}" if how else f"utf-8 as {wrong}")
+        out |= nxt
+        front = {t: h for t, h in nxt.items() if not t.isascii()}
+        if not front:
+            break
+    return tuple(out.items())
+
+
+def _script(c: str) -> str:
+    return "c" if "\u0400" <= c <= "\u052f" else "l" if c.isalpha() and ord(c) < 0x250 else ""
+
+
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _eight_bit_text(run: str, new: str) -> bool:
+    """Whether a single-byte remapping can be a reading of words at all: letters stay letters,
+    most of what changes is no space, changed letters are not just look-alikes, marks turn into
+    letters only beside letters, and no word mixes scripts."""
+    pairs = [(a, b) for a, b in zip(run, new, strict=True) if a != b]
+    if any(a.isalpha() and not b.isalpha() for a, b in pairs):
+        return False
+    solid = [(a, b) for a, b in pairs if not a.isspace() and a != "\xad" and b.isalpha()]
+    if len(solid) * 2 <= len(pairs) or all(a in LOOK_ALIKES for a, _ in pairs):
+        return False
+    if all(not a.isalpha() for a, _ in solid):  # only marks become letters
+        beside = sum(1 for k, (a, b) in enumerate(zip(run, new, strict=True)) if a != b and b.isalpha() and ((k and new[k - 1].isalpha()) or (k + 1 < len(new) and new[k + 1].isalpha())))
+        if not beside:
+            return False
+    return all(len({_script(c) for c in w} - {""}) < 2 for w in _WORD.findall(new))
+
+
+@lru_cache(65_536)
+def _eight_bit_readings(run: str) -> tuple[tuple[str, str, int], ...]:
+    """Single-byte remappings of a run that could be words: (text, mapping, characters changed)."""
+    odd = {ord(c) for c in run if ord(c) > 127}
+    seen, out = {run}, []
+    for wrong in WRONG:
+        if not odd <= to_bytes(wrong).keys():
+            continue
+        for right in RIGHT_8BIT:
+            if right == wrong:
+                continue
+            new = run.translate(eight_bit(wrong, right))
+            if new not in seen:
+                seen.add(new)
+                if _eight_bit_text(run, new):
+                    out.append((new, f"{right} as {wrong}", sum(a != b for a, b in zip(run, new, strict=True))))
+    return tuple(out)
+
+
+def _odd_mean(text: str, scores: list[float]) -> float:
+    """Mean improbability of the pairs that hold a non-ASCII character."""
+    t = f"\n{text}\n"
+    odd = [s for a, b, s in zip(t, t[1:], scores, strict=False) if a > "\x7f" or b > "\x7f"]
+    return sum(odd) / len(odd) if odd else -9.0
+
+
+def _best(text: str, lo: int, hi: int, model: PairScores, eight: bool = True) -> tuple[float, str, str] | None:
     """Best restoration of text[lo:hi] in its surroundings: (nats won, mapping, new run)."""
     run = text[lo:hi]
     left, right = text[max(0, lo - 1) : lo], text[hi : hi + 1]
-    base = float(model.scores(left + run + right).sum())
-    best, seen = None, set()
-    for wrong in WRONG:
-        new, n = unread_utf8(run, wrong)
-        if n and (wrong, new) not in seen and new not in seen:
-            seen.add(new)
-            won = base - float(model.scores(left + new + right).sum())
-            if won >= MARGIN_UTF8 and (best is None or won > best[0]):
-                best = (won, f"utf-8 as {wrong}", new)
-    odd = [c for c in run if ord(c) > 127]
-    for wrong in WRONG:
-        table = to_bytes(wrong)
-        if not all(ord(c) in table for c in odd):
+    base = sum(model.scores(left + run + right))
+    best = None
+    for new, how in _utf8_chains(run):
+        if not model.known(new):
             continue
-        for right_codec in RIGHT_8BIT:
-            if right_codec == wrong:
-                continue
-            new = run.translate(eight_bit(wrong, right_codec))
-            if new == run or new in seen:
-                continue
-            seen.add(new)
-            changed = sum(a != b for a, b in zip(run, new, strict=True))
-            # read as letters, or it is no text: symbols may well be rare and right
-            if not all(b.isalpha() for a, b in zip(run, new, strict=True) if a != b and a.isalpha()) or not any(b.isalpha() for a, b in zip(run, new, strict=True) if a != b):
-                continue
-            won = base - float(model.scores(left + new + right).sum())
-            if won >= max(MARGIN_8BIT, PER_CHAR * changed) and (best is None or won > best[0] + 4.0):
-                best = (won, f"{right_codec} as {wrong}", new)
+        after = model.scores(left + new + right)
+        won = base - sum(after)
+        if won >= MARGIN_UTF8 and _odd_mean(left + new + right, after) <= WORST_UTF8 and (best is None or won > best[0]):
+            best = (won, how, new)
+    if best or not eight:
+        return best
+    for new, how, changed in _eight_bit_readings(run):
+        after = model.scores(left + new + right)
+        won = base - sum(after)
+        if won >= max(MARGIN_8BIT, PER_CHAR * changed) and _odd_mean(left + new + right, after) <= WORST_8BIT and (best is None or won > best[0]):
+            best = (won, how, new)
     return best
 
 
-def _runs(text: str, scores: np.ndarray) -> list[tuple[int, int]]:
+def _runs(text: str, scores: list[float]) -> list[tuple[int, int]]:
     """Improbable runs as character ranges that hold non-ASCII, grown over adjoining non-ASCII."""
     out: list[list[int]] = []
     for a, b in segments(scores):
@@ -189,6 +268,9 @@ def _runs(text: str, scores: np.ndarray) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out if not text[lo:hi].isascii()]
 
 
+_TOKEN = re.compile(r"[^ \n]+")
+
+
 def restore(text: str, model: PairScores) -> tuple[bool, str, str]:
     """(garbled, restored text, mappings used)."""
     if not text or text.isascii():
@@ -199,17 +281,25 @@ def restore(text: str, model: PairScores) -> tuple[bool, str, str]:
         changed = False
         for lo, hi in reversed(runs):
             got = _best(text, lo, hi, model)
-            if got is None:  # parts of a long run may be read with different mappings, or only one part is garbled
-                for m in reversed(list(re.finditer(r"[^\x00-\x7f]+", text[lo:hi]))):
-                    part = _best(text, lo + m.start(), lo + m.end(), model)
-                    if part:
-                        text = text[: lo + m.start()] + part[2] + text[lo + m.end() :]
-                        used.append(part[1])
-                        changed = True
+            if got:
+                text = text[:lo] + got[2] + text[hi:]
+                used += got[1].split("; ")
+                changed = True
                 continue
-            text = text[:lo] + got[2] + text[hi:]
-            used.append(got[1])
-            changed = True
+            # a run may hold right text as well, or parts that were misread differently: word by word
+            for m in reversed(list(_TOKEN.finditer(text, lo, hi))):
+                a, b = m.span()
+                while a > 0 and text[a - 1] not in " \n":
+                    a -= 1
+                while b < len(text) and text[b] not in " \n":
+                    b += 1
+                if text[a:b].isascii():
+                    continue
+                part = _best(text, a, b, model)
+                if part:
+                    text = text[:a] + part[2] + text[b:]
+                    used += part[1].split("; ")
+                    changed = True
         if not changed:
             break
     sure = bool(_SURE.search(text))
@@ -253,12 +343,11 @@ def find_garbled(df: DataFrame, id_col: str, text_cols: list[str], model: PairSc
     as far as it could be restored, and the mappings used (``lost`` if none applies)."""
     spark = df.sparkSession
     model = model or fit_pairs(df, text_cols)
-    shared = spark.sparkContext.broadcast((model.pairs.astype(np.float32), model.chars.astype(np.float32), model.total))
+    shared = spark.sparkContext.broadcast((model.pairs.astype(np.float32), model.chars.astype(np.float32)))
     fields = list(text_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = PairScores.__new__(PairScores)
-        m.pairs, m.chars, m.total = shared.value
+        m = PairScores(*shared.value)
         known: dict[str, tuple[bool, str, str]] = {}
         for b in batches:
             rows: list[tuple] = []

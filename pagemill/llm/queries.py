@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.garbled import find_garbled
 from pagemill.llm.mixing import mix_sources
 from pagemill.llm.splitting import split_pieces
 from pagemill.llm.visual import print_classes, same_print_pairs, with_forms
 from pagemill.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "spans"), "span_id", ["text", "font"]).select(F.col("id").alias("span_id"), "field")
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "spans"), "span_id", ["text", "font"]).withColumnRenamed("id", "span_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_pieces(table(spark, d, "page_markdown"), table(spark, d, "split_limits"), oversized_only=True)
     return pieces.filter("piece_no = 0").select(F.col("id").alias("md_id"), "cut_kind")
@@ -40,7 +49,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms, "p7_selection": p7_selection, "p7_shares": p7_shares}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms, "p7_selection": p7_selection, "p7_shares": p7_shares}
 
 ORACLES = {
     "p3_found": r"""
