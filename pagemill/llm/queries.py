@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.garbled import find_garbled
+from pagemill.llm.leaks import find_leaks, leak_report
 from pagemill.llm.mixing import mix_sources
 from pagemill.llm.splitting import split_pieces
 from pagemill.llm.visual import print_classes, same_print_pairs, with_forms
@@ -41,6 +42,18 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return with_forms(table(spark, d, "spans").select("span_id", "text"))
 
 
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    return leak_report(p6_leaks(spark, d))
+
+
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[0].withColumnRenamed("id", "doc_id")
 
@@ -49,7 +62,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms, "p7_selection": p7_selection, "p7_shares": p7_shares}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms, "p6_found": p6_found, "p6_items": p6_items, "p7_selection": p7_selection, "p7_shares": p7_shares}
 
 ORACLES = {
     "p3_found": r"""
