@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.garbled import find_garbled
 from pagemill.llm.leaks import find_leaks, leak_report
 from pagemill.llm.mixing import mix_sources
+from pagemill.llm.residue import find_residue, fit_model, without_residue
 from pagemill.llm.splitting import split_pieces
 from pagemill.llm.visual import print_classes, same_print_pairs, with_forms
 from pagemill.session import table
@@ -62,7 +63,26 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms, "p6_found": p6_found, "p6_items": p6_items, "p7_selection": p7_selection, "p7_shares": p7_shares}
+def p8_pages(spark: SparkSession, d: str) -> DataFrame:
+    return find_residue(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_pages(spark, d).select("doc_id")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return without_residue(documents, find_residue(documents)).select("doc_id", "lang", "source", "n_chars", "text")
+
+
+def p8_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of windows against their weak labels on unseen newspapers."""
+    _, figures = fit_model(table(spark, d, "documents"))
+    return spark.createDataFrame([tuple(figures.values())], ", ".join(f"{k} double" for k in figures))
+
+
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms, "p6_found": p6_found, "p6_items": p6_items, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pages": p8_pages, "p8_clean": p8_clean, "p8_validation": p8_validation}
 
 ORACLES = {
     "p3_found": r"""
