@@ -124,7 +124,7 @@ def join_cell_lines(c: Column) -> Column:
 
 def escape_cell(c: Column) -> Column:
     """Escape ``|`` and a backslash before ``|`` or at the end."""
-    return F.regexp_replace(c, "\\\\(?=\\\\*(\\||$))|\\|", "\\\\$0")
+    return F.regexp_replace(c, "\\\\(?=\\\\*(\\||\\z))|\\|", "\\\\$0")
 
 
 def strip_leaders(c: Column) -> Column:

@@ -338,6 +338,8 @@ g AS (SELECT {_K}, len(t) AS n, len(list_filter(t, lambda x: regexp_matches(rege
 SELECT {_K}, CASE WHEN n > 0 THEN (g - (n - g) * 0.5) / n ELSE 0.0 END AS score FROM g""",
     "strip_leaders": r"""SELECT DISTINCT md_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(md_string, '[.·…•_][ \t]*[.·…•_][ \t]*[.·…•_][.·…•_ \t]*', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM page_markdown WHERE md_string IS NOT NULL""",
     "page_cleanup": r"""SELECT DISTINCT md_id, replace(regexp_replace(replace(replace(replace(replace(replace(md_string, ' ' || chr(10), chr(10)), '  ', ' '), chr(10) || chr(10) || chr(10), chr(10) || chr(10)), ' ,', ','), '-' || chr(10), ''), '^\n+', ''), chr(0), chr(65533)) AS text FROM page_markdown WHERE md_string IS NOT NULL""",
+    "join_cell_lines": r"""SELECT doc_id, replace(regexp_replace(regexp_replace(text, '(\p{L}-)\n(\p{L})', '\1\2', 'g'), '(\p{L}-)\n(\p{L})', '\1\2', 'g'), chr(10), ' ') AS text FROM documents WHERE text IS NOT NULL""",
+    "escape_cell": "SELECT DISTINCT md_id, replace(md_string, '|', chr(92) || '|') AS text FROM page_markdown WHERE md_string IS NOT NULL AND NOT contains(md_string, chr(92)) UNION ALL SELECT DISTINCT md_id, regexp_replace(regexp_replace(md_string, '(\\\\+)(\\||$)', '\\1\\1\\2', 'g'), '\\|', '\\\\|', 'g') FROM page_markdown WHERE contains(md_string, chr(92))",
     "rect_algebra": f"""WITH {_S}, n AS (SELECT *, lead(x0) OVER w AS nx0, lead(y0) OVER w AS ny0, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1 FROM s WINDOW w AS (PARTITION BY {_L} ORDER BY span)),
 m AS (SELECT *, least(x0, nx0) AS ux0, least(y0, ny0) AS uy0, greatest(x1, nx1) AS ux1, greatest(y1, ny1) AS uy1 FROM n WHERE nx0 IS NOT NULL)
 SELECT {_K}, greatest(x0, nx0) AS ix0, least(x1, nx1) AS ix1, ux0, ux1, greatest(0.0, ux1 - ux0) * greatest(0.0, uy1 - uy0) AS area, sqrt(pow(greatest(0.0, x0 - nx1, nx0 - x1), 2) + pow(greatest(0.0, y0 - ny1, ny0 - y1), 2)) AS gap,
