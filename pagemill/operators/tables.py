@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions.text import escape_cell
 from pagemill.operators import table_kernel as K
+from pagemill.operators.pagewise import fold, gathered
 
 PAGE = ["doc_id", "page"]
 
@@ -80,45 +80,44 @@ def rect_edges(rects: DataFrame, thin: float = 3.0, edge_min: float = 3.0) -> Da
 _CELLS = "doc_id long, page int, table_no int, row int, col int, x0 double, y0 double, x1 double, y1 double, text string"
 
 
-def _emit(key, grids, words) -> pd.DataFrame:
-    out = []
+def _emit(doc, page, grids, words):
     for t, g in enumerate(grids):
         texts = K.cell_texts(g, words)
         for r, row in enumerate(g.cells):
             for c, box in enumerate(row):
-                out.append((*key, t, r, c, *(box or (None,) * 4), texts[r][c]))
-    return pd.DataFrame(out, columns=["doc_id", "page", "table_no", "row", "col", "x0", "y0", "x1", "y1", "text"]).astype(object)
+                yield (doc, page, t, r, c, *(box or (None,) * 4), texts[r][c])
 
 
-def _words(pdf: pd.DataFrame) -> list[tuple]:
-    return [tuple(w) for w in pdf[["x0", "y0", "x1", "y1", "text"]].dropna().drop_duplicates().itertuples(index=False)]
+def _words(items) -> list[tuple]:
+    return sorted({(w["x0"], w["y0"], w["x1"], w["y1"], w["text"]) for w in items or () if None not in w.values()})
 
 
-def find_tables(edges: DataFrame, words: DataFrame, strategy: str = "lines_strict") -> DataFrame:
+def _rules(items, kind: str) -> list[tuple]:
+    return sorted({(e["pos"], e["lo"], e["hi"]) for e in items or () if e["kind"] == kind and None not in e.values()})
+
+
+def find_tables(edges: DataFrame | None, words: DataFrame, strategy: str = "lines_strict") -> DataFrame:
     """Cells of the tables of each page: (table_no, row, col), box (null: covered) and text.
 
     ``lines`` and ``lines_strict`` read edges (kind, pos, lo, hi); ``text`` reads words alone.
     """
-    words = words.select(*PAGE, "x0", "y0", "x1", "y1", "text")
+    w = gathered(words, PAGE, ["x0", "y0", "x1", "y1", "text"], "words")
     if strategy == "text":
 
-        def by_text(key, pdf):
-            w = _words(pdf)
-            return _emit(key, K.text_tables([x[:4] for x in w]), w)
+        def by_text(doc, page, items):
+            ws = _words(items)
+            return _emit(doc, page, K.text_tables([x[:4] for x in ws]), ws)
 
-        return words.groupBy(*PAGE).applyInPandas(by_text, _CELLS)
+        return fold(w, by_text, _CELLS)
     if strategy not in K.EDGE_MIN:
         raise ValueError(f"unknown table strategy {strategy!r}")
+    e = gathered(edges, PAGE, ["kind", "pos", "lo", "hi"], "edges")
 
-    def by_rules(key, e, w):
-        if not len(e):
-            return _emit(key, [], [])
-        e = e[["kind", "pos", "lo", "hi"]].dropna().drop_duplicates()
-        pick = lambda k: [tuple(r) for r in e[e["kind"] == k][["pos", "lo", "hi"]].itertuples(index=False)]
-        w = _words(w)
-        return _emit(key, K.grid_tables(pick("h"), pick("v"), w, strategy), w)
+    def by_rules(doc, page, rules, items):
+        ws = _words(items)
+        return _emit(doc, page, K.grid_tables(_rules(rules, "h"), _rules(rules, "v"), ws, strategy), ws)
 
-    return edges.select(*PAGE, "kind", "pos", "lo", "hi").groupBy(*PAGE).cogroup(words.groupBy(*PAGE)).applyInPandas(by_rules, _CELLS)
+    return fold(e.join(w, PAGE, "left").select(*PAGE, "edges", "words"), by_rules, _CELLS)
 
 
 def explicit_cells(grids: DataFrame, tolerance: float = 3.0) -> DataFrame:
@@ -211,13 +210,13 @@ def rule_components(edges: DataFrame) -> DataFrame:
     """Edges of each page with the number of the group of meeting rules they belong to; groups
     under four rules or without two of each direction are left out."""
 
-    def run(key, e):
-        h = sorted({tuple(r) for r in e[e["kind"] == "h"][["pos", "lo", "hi"]].itertuples(index=False)})
-        v = sorted({tuple(r) for r in e[e["kind"] == "v"][["pos", "lo", "hi"]].itertuples(index=False)})
-        out = [(*key, n, k, *r) for n, (hs, vs) in enumerate(sorted(K.components(h, v))) for k, rs in (("h", hs), ("v", vs)) for r in rs]
-        return pd.DataFrame(out, columns=["doc_id", "page", "component", "kind", "pos", "lo", "hi"])
+    def run(doc, page, items):
+        for n, (hs, vs) in enumerate(sorted(K.components(_rules(items, "h"), _rules(items, "v")))):
+            for kind, rules in (("h", hs), ("v", vs)):
+                for r in rules:
+                    yield (doc, page, n, kind, *r)
 
-    return edges.groupBy(*PAGE).applyInPandas(run, "doc_id long, page int, component int, kind string, pos double, lo double, hi double")
+    return fold(gathered(edges, PAGE, ["kind", "pos", "lo", "hi"]), run, "doc_id long, page int, component int, kind string, pos double, lo double, hi double")
 
 
 def nearest(points: DataFrame, others: DataFrame, cell: float, by: Sequence[str] = (), k: int = 1) -> DataFrame:
