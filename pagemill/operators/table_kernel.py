@@ -26,13 +26,22 @@ def unique_sorted(values, tolerance: float = SNAP) -> list[float]:
 
 
 def merge_rules(rules, tolerance: float = SNAP) -> list[tuple[float, float, float]]:
-    """Rules that continue or overlap the one before, by position and start, become one."""
-    out: list[list[float]] = []
-    for pos, lo, hi in sorted(rules):
-        if out and pos - out[-1][0] <= tolerance and lo <= out[-1][2] + tolerance:
-            out[-1][1], out[-1][2] = min(out[-1][1], lo), max(out[-1][2], hi)
+    """Rules of nearly one position that overlap or continue each other become one. Positions
+    band together within the tolerance of the band's first."""
+    bands: list[list[tuple[float, float, float]]] = []
+    for r in sorted(rules):
+        if bands and r[0] - bands[-1][0][0] <= tolerance:
+            bands[-1].append(r)
         else:
-            out.append([pos, lo, hi])
+            bands.append([r])
+    out: list[list[float]] = []
+    for band in bands:
+        first = len(out)
+        for pos, lo, hi in sorted(band, key=lambda r: r[1:]):
+            if len(out) > first and lo <= out[-1][2] + tolerance:
+                out[-1][2] = max(out[-1][2], hi)
+            else:
+                out.append([pos, lo, hi])
     return [tuple(r) for r in out]
 
 
