@@ -79,13 +79,15 @@ def _join_aligned(boxes: list[Box]) -> list[Box]:
 
 
 def _join_rest(boxes: list[Box]) -> list[Box]:
-    """Join pairs whose union touches no third box, until none is left."""
+    """Join pairs of one column whose union touches no third box, until none is left."""
     out = list(boxes)
     moved = True
     while moved and len(out) > 1:
         moved = False
         for i in range(len(out)):
             for j in range(i + 1, len(out)):
+                if out[j][0] > out[i][2] or out[j][2] < out[i][0]:
+                    continue  # another column
                 u = _union(out[i], out[j])
                 if not any(_touches(u, o) for k, o in enumerate(out) if k not in (i, j)):
                     out[i] = u

@@ -6,6 +6,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
+# workers import the package and the tests' own helpers
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
