@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill import sinks
 from pagemill.operators import pages as P
+from pagemill.operators import raster as R
+from pagemill.operators import table_kernel as TK
 from pagemill.operators import textflow as L
-from pagemill.operators.pagewise import fold
+from pagemill.operators.ocr import lazy_engine, ocr_cells
+from pagemill.operators.pagewise import fold, gathered
 from pagemill.operators.tables import dedupe_images, explicit_cells, find_tables
 from pagemill.options import MarkdownOptions
 from pagemill.session import cut
@@ -45,6 +49,8 @@ class Conversion:
         if not o.tables:
             return None
         words = L.word_boxes(self.chars)
+        if o.table_strategy == "pixels":
+            return self._read(self._pixel_cells(words))
         if o.explicit_table_grids:
             grids = self.scan.sparkSession.createDataFrame([(list(map(float, g["h_lines"])), list(map(float, g["v_lines"])), g.get("page")) for g in o.explicit_table_grids], "h_lines array<double>, v_lines array<double>, at int")
             placed = self.scan.filter("error IS NULL").select("doc_id", "page").join(F.broadcast(grids), F.col("at").isNull() | (F.col("at") == F.col("page")))
@@ -54,8 +60,62 @@ class Conversion:
             met = c.join(w, (F.col("doc_id") == F.col("wd")) & (F.col("page") == F.col("wp")) & inside, "left")
             return met.groupBy("doc_id", "page", F.lit(0).alias("table_no"), "row", "col", "x0", "y0", "x1", "y1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wy", "wx", "wt"))), lambda s: s["wt"]), " ").alias("text"))
         if o.table_strategy == "text":
-            return find_tables(None, words, "text")
-        return find_tables(self._clipped(S.relation(self.scan, "edges")), words, "lines" if o.table_strategy == "lines" else "lines_strict")
+            return self._read(find_tables(None, words, "text"))
+        return self._read(find_tables(self._clipped(S.relation(self.scan, "edges")), words, "lines" if o.table_strategy == "lines" else "lines_strict"))
+
+    @property
+    def rasters(self) -> DataFrame:
+        """Gray pixels of each page at ``ocr_dpi``: its images, strokes and characters drawn, straightened,
+        and a page without text turned upright where its ink runs down."""
+        scale, turn = self.options.ocr_dpi / 72, self.options.detect_orientation
+        factory = self.options.ocr
+
+        def draw(doc, page, width, height, chars, edges, images):
+            pics = [((i["x0"], i["y0"], i["x1"], i["y1"]), sinks.pixels(i["data"], i["width"], i["height"], i["codec"])) for i in images or ()]
+            r = R.render(width, height, [(e["kind"], e["pos"], e["lo"], e["hi"], e["width"]) for e in edges or ()], [(c["x0"], c["y0"], c["x1"], c["y1"], c["c"]) for c in chars or ()], pics, scale)
+            quarter = R.scan_turn(r, any(not c["c"].isspace() for c in chars or ())) if turn else 0
+            if quarter:
+                r = r.turned(quarter)
+                if factory and R.upside_down(r, lazy_engine(factory)().recognize, lambda t: sum(ch.isalnum() for ch in t) - 0.5 * sum(not ch.isalnum() and not ch.isspace() for ch in t)):
+                    r = r.turned(180)
+            elif not chars:
+                r = r.deskewed(r.lean)
+            yield doc, page, r.width, r.height, scale, quarter, r.gray.tobytes()
+
+        src = self.scan.filter("error IS NULL").select("doc_id", "page", "width", "height", "chars", "edges", "images")
+        return fold(src, draw, "doc_id bigint, page int, width int, height int, scale double, turned int, data binary")
+
+    def _pixel_cells(self, words: DataFrame) -> DataFrame:
+        w = gathered(words, ["doc_id", "page"], ["x0", "y0", "x1", "y1", "text"], "words")
+
+        def find(doc, page, width, height, scale, data, words):
+            grids = R.find_grids(R.Raster(np.frombuffer(data, np.uint8).reshape(height, width), scale))
+            for t, g in enumerate(grids):
+                texts = TK.cell_texts(g, [(i["x0"], i["y0"], i["x1"], i["y1"], i["text"]) for i in words or ()])
+                for r, row in enumerate(g.cells):
+                    for c, box in enumerate(row):
+                        yield (doc, page, t, r, c, *(box or (None,) * 4), texts[r][c])
+
+        pages = self.rasters.select("doc_id", "page", "width", "height", "scale", "data").join(w, ["doc_id", "page"], "left").select("doc_id", "page", "width", "height", "scale", "data", "words")
+        return fold(pages, find, "doc_id bigint, page int, table_no int, row int, col int, x0 double, y0 double, x1 double, y1 double, text string")
+
+    def _read(self, cells: DataFrame) -> DataFrame:
+        """Cells with the engine's text where the text source asks for it and an engine is given."""
+        o = self.options
+        if o.ocr is None or o.text_source == "pdf":
+            return cells
+        cells = cut(cells)
+        key = ["doc_id", "page", "table_no", "row", "col"]
+        distrusted = None
+        if o.text_source == "auto":
+            bad = L.broken_fonts(self.chars.withColumn("font", F.concat("doc_id", F.lit(":"), "font"))).filter("broken").select(F.col("font").alias("__f"), F.col("font_id").alias("__i"))
+            ch = self.chars.withColumn("font", F.concat("doc_id", F.lit(":"), "font")).join(bad, (F.col("font") == F.col("__f")) & F.col("font_id").eqNullSafe(F.col("__i")), "left_semi")
+            held = cells.filter("x0 IS NOT NULL").select(*[F.col(k).alias(f"k_{k}") for k in key], *[F.col(c).alias(f"k_{c}") for c in ("x0", "y0", "x1", "y1")])
+            cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+            inside = (F.col("doc_id") == F.col("k_doc_id")) & (F.col("page") == F.col("k_page")) & (cx >= F.col("k_x0")) & (cx < F.col("k_x1")) & (cy >= F.col("k_y0")) & (cy < F.col("k_y1"))
+            distrusted = ch.join(held, inside).select(*[F.col(f"k_{k}").alias(k) for k in key])
+        read = ocr_cells(cells, self.rasters, o.ocr, o.text_source, distrusted).select(*key, F.col("text").alias("__t"))
+        return cells.join(read, key, "left").withColumn("text", F.coalesce("__t", "text")).drop("__t")
 
     def _clipped(self, edges: DataFrame) -> DataFrame:
         left, top, right, bottom = self.options.margin_box

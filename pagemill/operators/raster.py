@@ -86,7 +86,7 @@ class Raster:
         ys, xs = np.nonzero(self.ink)
         if len(xs) < 50:
             return 0.0
-        step = max(1, len(xs) // 60_000)
+        step = max(1, len(xs) // 20_000)
         ys, xs = ys[::step].astype(float), xs[::step] - self.width / 2
 
         def sharp(a: float) -> float:
@@ -187,7 +187,7 @@ def rules(r: Raster, vertical: bool = False, loose: bool = False, mask: np.ndarr
     gap, least, thick = int(max(2, r.scale)), max(12.0, MIN_RULE * r.scale), max(2.0, 4 * r.scale)
     lines: list[dict] = []
     open_: list[dict] = []
-    for y in np.flatnonzero(m.sum(axis=1) >= min(least, 12)):
+    for y in np.flatnonzero(m.sum(axis=1) >= RULE_INK * least * (0.5 if loose else 1.0)):
         y = int(y)
         open_ = [o for o in open_ if o["y1"] >= y - 1]
         for a, b, n in _bridged(_runs(m[y]), gap):

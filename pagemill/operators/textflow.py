@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from pagemill.functions.geometry import envelope, js_round
 from pagemill.functions.text import TRIM_CLASS, is_white, trim_all
+from pagemill.operators.pagewise import fold, gathered
 
 PAGE = ["doc_id", "page"]
 LINE = [*PAGE, "block", "line"]
@@ -195,17 +196,16 @@ def match_outline(spans: DataFrame, toc: DataFrame) -> DataFrame:
     hit = (F.col("t") == F.col("title")) | F.col("t").startswith(F.col("title")) | F.col("title").startswith(F.col("t"))
     pairs = s.join(o, (F.col("doc_id") == F.col("__doc")) & (F.col("page") == F.col("__page")) & hit & (F.col("title") != "")).drop("__doc", "__page", "t")
 
-    def greedy(pdf):
-        pdf = pdf.sort_values(["block", "line", "span", "seq"])
-        used, taken, keep = set(), set(), []
-        for i, b, ln, sp, q, title in zip(pdf.index, pdf["block"], pdf["line"], pdf["span"], pdf["seq"], pdf["title"], strict=True):
-            if (b, ln, sp) not in taken and title not in used:
-                taken.add((b, ln, sp))
-                used.add(title)
-                keep.append(i)
-        return pdf.loc[keep]
-
-    return pairs.groupBy(*PAGE).applyInPandas(greedy, pairs.schema)
+    def greedy(doc, page, items):
+        used, taken = set(), set()
+        for i in sorted(items, key=lambda i: (i["block"], i["line"], i["span"], i["seq"])):
+            at = (i["block"], i["line"], i["span"])
+            if at not in taken and i["title"] not in used:
+                taken.add(at)
+                used.add(i["title"])
+                yield doc, page, *at, i["seq"], i["level"], i["title"]
+
+    return fold(gathered(pairs, PAGE, ["block", "line", "span", "seq", "level", "title"]), greedy, pairs.select(*SPAN, "seq", "level", "title").schema)
 
 
 def resolve_links(spans: DataFrame, links: DataFrame) -> DataFrame:
