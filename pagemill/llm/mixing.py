@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill.session import cut
 
@@ -69,8 +70,8 @@ def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats >= 1").groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("cap"))
     held = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).filter("tokens > 0")
     s = t.join(held, "source")
-    total = s.agg(F.min(F.col("cap") * F.col("tokens") / F.col("share")).alias("total"))
-    return s.crossJoin(total).withColumn("rate", F.least(F.col("cap").cast("double"), F.col("share") * F.col("total") / F.col("tokens"))).drop("total")
+    total = F.min(F.col("cap") * F.col("tokens") / F.col("share")).over(Window.partitionBy(F.lit(1)))  # one row a source
+    return s.withColumn("rate", F.least(F.col("cap").cast("double"), F.col("share") * total / F.col("tokens")))
 
 
 def mix_sources(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, tokenizer: str = DEFAULT_TOKENIZER) -> tuple[DataFrame, DataFrame]:
@@ -88,12 +89,11 @@ def mix_sources(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_
     name = os.path.basename(tokenizer)
     selection = chosen.select("id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "n_tokens", F.lit(name).alias("tokenizer"))
     got = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens_reached"), F.sum("copies").alias("copies_reached"), F.max("copies").alias("most_repeats"))
-    whole = got.agg(F.sum("tokens_reached").alias("__all"))
+    whole = F.sum("tokens_reached").over(Window.partitionBy(F.lit(1)))  # one row a source
     asked = targets.filter("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     shares = (
         asked.join(rate.select("source", "tokens", "rate"), "source", "left")
         .join(got, "source", "left")
-        .crossJoin(whole)
-        .select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens_held"), "rate", F.coalesce("copies_reached", F.lit(0)).alias("copies"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce("tokens_reached", F.lit(0)).alias("tokens_reached"), (F.coalesce("tokens_reached", F.lit(0)) / F.col("__all")).alias("share_reached"), F.lit(name).alias("tokenizer"))
+        .select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens_held"), "rate", F.coalesce("copies_reached", F.lit(0)).alias("copies"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce("tokens_reached", F.lit(0)).alias("tokens_reached"), (F.coalesce("tokens_reached", F.lit(0)) / whole).alias("share_reached"), F.lit(name).alias("tokenizer"))
     )
     return selection, shares
