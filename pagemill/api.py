@@ -170,7 +170,7 @@ class Conversion:
 
     def pages(self) -> DataFrame:
         o = self.options
-        got = P.page_markdown(self.spans, o, self.cells, self.links, self.images)
+        got = P.page_markdown(self.spans, o, self.cells, self.links, self.images, self.toc)
         want = self.scan.filter("error IS NULL").select("doc_id", "page")
         if o.pages is not None:
             want = want.filter(F.col("page").isin(list(o.pages)))

@@ -50,13 +50,20 @@ def _tables(cells) -> list[tuple[K.Box, str]]:
     return out
 
 
-def page_markdown(spans: DataFrame, options: MarkdownOptions = MarkdownOptions(), cells: DataFrame | None = None, links: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page, text): Markdown of each page that has spans or tables."""
+def page_markdown(spans: DataFrame, options: MarkdownOptions = MarkdownOptions(), cells: DataFrame | None = None, links: DataFrame | None = None, images: DataFrame | None = None, toc: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, text): Markdown of each page that has spans or tables. Heading levels come
+    from the sizes of the document, or with ``hdr_info="toc"`` from the outline ``toc``."""
     s = spans.filter(F.col("page").isin(list(options.pages))) if options.pages is not None else spans
     s = s.filter(F.coalesce(F.col("size"), F.lit(11.0)) >= options.fontsize_limit)
     if options.hdr_info is None:
         model = L.heading_levels(L.size_histogram(spans), options.max_levels, options.body_limit)
         s = L.span_levels(s, model)
+    elif options.hdr_info == "toc" and toc is not None:
+        named = L.match_outline(s, toc).select(*[F.col(c).alias(f"__{c}") for c in L.SPAN], "level")
+        cond = F.lit(True)
+        for c in L.SPAN:
+            cond = cond & (F.col(c) == F.col(f"__{c}"))
+        s = s.join(named, cond, "left").drop(*[f"__{c}" for c in L.SPAN])
     else:
         s = s.withColumn("level", F.lit(None).cast("int"))
     if links is not None and options.has("link"):

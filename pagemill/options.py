@@ -16,12 +16,12 @@ TEXT_SOURCES = ("pdf", "ocr", "auto")
 class MarkdownOptions:
     """All settings; the names follow the usual option names in snake case.
 
-    ``hdr_info``: False (no headings), None (sizes of the document) or a callable from a span
-    dict to a Markdown prefix. ``margins``: a number, (top, bottom) or (left, top, right, bottom).
+    ``hdr_info``: False (no headings), None (sizes of the document), "toc" (the outline) or a
+    callable from a span dict to a Markdown prefix. ``margins``: a number, (top, bottom) or (left, top, right, bottom).
     """
 
     pages: Sequence[int] | None = None
-    hdr_info: Callable[[dict], str] | bool | None = None
+    hdr_info: Callable[[dict], str] | str | bool | None = None
     write_images: bool = False
     embed_images: bool = False
     image_path: str = ""
@@ -61,6 +61,8 @@ class MarkdownOptions:
             raise ValueError(f"unknown elements {sorted(bad)}")
         if self.image_format not in ("png", "jpg", "jpeg"):
             raise ValueError(f"unknown image format {self.image_format!r}")
+        if isinstance(self.hdr_info, str) and self.hdr_info != "toc":
+            raise ValueError(f"unknown heading source {self.hdr_info!r}")
         if not 0 <= self.image_size_limit < 1:
             raise ValueError("image_size_limit must be from 0 to under 1")
         self.margin_box  # noqa: B018  checks the margins

@@ -891,7 +891,32 @@ def rotation_of(doc: Document, d: dict) -> int:
     return int(round(r / 90) * 90) % 360 if isinstance(r, int | float) else 0
 
 
-def read_page(doc: Document, d: dict, remove_rotation: bool = True) -> Page:
+def _appearances(doc: Document, d: dict, it: Interpreter, base: Matrix, clip) -> None:
+    """Draw the normal appearance of form widgets and other visible annotations into the page."""
+    g = doc.get
+    for a in g(d.get("Annots")) or []:
+        a = g(a)
+        if not isinstance(a, dict) or (g(a.get("F")) or 0) & 2 or g(a.get("Subtype")) == "Popup":
+            continue
+        look, rect = (g(a.get("AP")) or {}).get("N"), doc.numbers(a.get("Rect"), 4)
+        look = g(look)
+        if isinstance(look, dict):  # one appearance a state
+            look = g(look.get(g(a.get("AS"))))
+        if not isinstance(look, Stream) or not rect:
+            continue
+        box, m = doc.numbers(look.dict.get("BBox"), 4), doc.numbers(look.dict.get("Matrix"), 6)
+        if not box:
+            continue
+        m = tuple(m) if m else UNIT
+        pts = [apply(m, x, y) for x in (box[0], box[2]) for y in (box[1], box[3])]
+        x0, y0, x1, y1 = min(p[0] for p in pts), min(p[1] for p in pts), max(p[0] for p in pts), max(p[1] for p in pts)
+        r0, r1 = (min(rect[0], rect[2]), min(rect[1], rect[3])), (max(rect[0], rect[2]), max(rect[1], rect[3]))
+        sx, sy = ((r1[0] - r0[0]) / (x1 - x0) if x1 > x0 else 1.0), ((r1[1] - r0[1]) / (y1 - y0) if y1 > y0 else 1.0)
+        fit = (sx, 0.0, 0.0, sy, r0[0] - x0 * sx, r0[1] - y0 * sy)
+        it.run(doc.decode(look), g(look.dict.get("Resources")) or {}, State(ctm=times(times(m, fit), base), clip=clip))
+
+
+def read_page(doc: Document, d: dict, remove_rotation: bool = True, flatten: bool = True) -> Page:
     g = doc.get
     box = doc.numbers(d.get("CropBox"), 4) or doc.numbers(d.get("MediaBox"), 4) or [0, 0, 612, 792]
     rotation = rotation_of(doc, d)
@@ -902,6 +927,8 @@ def read_page(doc: Document, d: dict, remove_rotation: bool = True) -> Page:
     data = b"\n".join(doc.decode(p) for p in map(g, parts) if isinstance(p, Stream))
     it = Interpreter(doc, page, base)
     it.run(data, g(d.get("Resources")) or {}, State(ctm=base, clip=(0.0, 0.0, w, h)))
+    if flatten:
+        _appearances(doc, d, it, base, (0.0, 0.0, w, h))
     page.chars = [c for c in page.chars if 0 <= (c["x0"] + c["x1"]) / 2 <= w and 0 <= (c["y0"] + c["y1"]) / 2 <= h]
     _annotations(doc, d, page, base)
     return page

@@ -95,3 +95,19 @@ def test_edges_of_fills_and_strokes():
     p = read_page(d := Document(make_pdf(["0.5 g 100 100 200 1 re f 1 g 10 10 100 100 re f 0 g 50 50 100 60 re f 300 300 m 300.5 400 l S"])), d.pages()[0])
     kinds = sorted((e["kind"], round(e["pos"])) for e in p.edges)
     assert ("h", 742) in kinds and len([k for k in kinds if k[0] == "h"]) == 3 and len([k for k in kinds if k[0] == "v"]) == 3
+
+
+def test_headings_from_the_outline_and_flattened_forms(spark):
+    page = text(50, 780, "Chapter one", 12) + text(50, 760, "and its text", 12)
+    pdf = make_pdf([page], outline=[("Chapter one", 0)])
+    assert convert(spark, pdf, hdr_info="toc").text.startswith("# Chapter one\n")
+    look = "<< /Length 46 /BBox [0 0 80 20] /Resources << /Font << /F0 << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >> >> >> >>\nstream\nBT /F0 10 Tf 2 5 Td (typed in) Tj ET           \nendstream"
+    d = Document(make_pdf([page], fields=[(0, "/FT /Tx /T (n) /AP << /N 99 0 R >>")]))
+    from pagemill.sources.pdf_parser import Lexer, Stream
+
+    d.cache[99] = Stream(Lexer(look.encode()).next(), b"BT /F0 10 Tf 2 5 Td (typed in) Tj ET")
+    del d.cache[99].dict["Length"]
+    p = read_page(d, d.pages()[0])
+    shown = "".join(c["c"] for c in p.chars)
+    assert shown.endswith("typed in") and p.chars[-1]["y0"] > 800
+    assert "typed" not in "".join(c["c"] for c in read_page(d, d.pages()[0], flatten=False).chars)
