@@ -40,13 +40,13 @@ NEGATIVES = 3
 SEED = 11
 PENALTY = 2e-6
 #: log odds from which a window counts as residue
-THRESHOLD = 3.0
+THRESHOLD = 2.5
 
 # Phrases of pages that hold no content, for weak labels. Long ones are searched
 # with confusable letters folded, short ones and marks as they are (lower case).
 PHRASES = (
     # scripts and cookies
-    "needs javascript to be", "needs scripts to be", "javascript is disabled", "javascript is blocked", "please enable javascript", "scripting is blocked", "scripting is switched off", "unblock scripts for", "allow scripts for this", "enable scripts for", "works best with scripts", "works best with javascript", "accept cookies and scripts", "turn on cookies and", "before the newspaper can be", "your browser is out of date", "page image cannot be shown", "aktivieren sie javascript", "erlauben sie javascript", "aktivieren sie skripte", "erlauben sie skripte", "ohne javascript kann", "ohne skripte kann", "veuillez autoriser", "veuillez activer", "autoriser les scripts", "activer les scripts", "pour afficher ce journal", "pour lire ce journal", "if nothing appears",
+    "needs javascript to be", "needs scripts to be", "javascript is disabled", "javascript is blocked", "please enable javascript", "scripting is blocked", "scripting is switched off", "unblock scripts for", "allow scripts for this", "enable scripts for", "works best with scripts", "works best with javascript", "accept cookies and scripts", "turn on cookies and", "before the newspaper can be", "your browser is out of date", "page image cannot be", "is disabled. the page", "is blocked. the page", "is switched off. the page", "active content is", "aktivieren sie javascript", "erlauben sie javascript", "aktivieren sie skripte", "erlauben sie skripte", "ohne javascript kann", "ohne skripte kann", "veuillez autoriser", "veuillez activer", "autoriser les scripts", "activer les scripts", "pour afficher ce journal", "pour lire ce journal", "if nothing appears",
     "turn on active content", "allow active content", "enable active content", "please turn on scripts", "please turn on scripting", "please enable scripting", "please enable scripts", "your browser is not supported", "browser is not supported",
     # errors
     "image could not be", "column could not be", "accès refusé", "erreur 999 :", "status 999:", "error 999:", "http 999:", "too many requests from", "requests from your address", "gateway timeout", "gateway time-out", "reader did not answer", "server did not answer", "failed: out of memory", "failed: no text returned", "failed: worker lost", "asked for is not available", "requested is not available", "internal server error", "unexpected server error", "bad gateway", "service unavailable", "service indisponible", "délai dépassé", "request timed out", "timed out while", "null pointer in", "stack overflow in", "type error in", "pageview.js", "text.layer at", "tile.load at", "trace id", "job failed", "worker lost", "failed to load", "could not be fetched", "could not be read. ", "could not be displayed", "cannot be displayed", "is not available on this server", "not available on this server", "find the page you are looking", "find the issue you are looking", "find the document you are", "you are looking for", "something went wrong", "please try again later", "nicht gefunden. ", "seite nicht gefunden", "ausgabe nicht gefunden", "prüfen sie die adresse", "kehren sie zur startseite", "demandée est introuvable", "demandée est indisponible", "la ressource demandée", "zeitüberschreitung beim laden", "interner fehler beim laden", "maintenance in progress", "scheduled work in progress", "the archive is offline until", "the archive is closed until", "permission to open this issue", "permission to view this issue", "lack permission to", "permission refused", "your session has ended", "your session has expired", "sign in again to continue",
@@ -58,7 +58,7 @@ PHRASES = (
 )
 MARKS = (
     "page_label", "paper_name", "issue_date", "column_no", "article_body", "editor.name", "item.title", "<headline", "<caption", "<byline", "<subhead", "[headline", "[caption", "[byline", "[subhead", "{headline", "{caption", "{byline", "{subhead", "__headline", "__caption", "__byline", "__subhead", "@@", "{%", "%}", "$title$", "$date$", "$name$", "$page$", "?headline?", "?caption?", "?byline?", "?title?", "&lt;", "&gt;", "[your ", "<your ", "%s, no.", "{9}",
-    "{{", "}}", "<%", "%>", "${", "#{", "[[", "]]", "<<", "%(", "[object object]", "asdf jkl", "qwer jkl", "bla blah", "blah bla", "xxxxx xxx", "slug tbd", "undefined", "nan.nan", "javascript", "999 not found", "999 gone", "999 forbidden", "999 bad gateway", "999 bad request", "999 unauthorized", "999 service unavailable", "999 internal server error", "%9$s", "$paper$", "à compléter", "einfügen",
+    "{{", "}}", "<%", "%>", "${", "#{", "[[", "]]", "<<", "%(", "[object object]", "asdf jkl", "qwer jkl", "bla blah", "blah bla", "xxxxx xxx", "slug tbd", "undefined", "nan.nan", "javascript", "999 not found", "999 gone", "999 forbidden", "999 bad gateway", "999 bad request", "999 unauthorized", "999 service unavailable", "999 internal server error", "%9$s", "$paper$", "(name of", "<name of", "[name of", "à compléter", "einfügen",
 )
 #: words of the customary filler passage; four in a row are filler
 FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur".split())
