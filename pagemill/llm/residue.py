@@ -11,8 +11,8 @@ page is looked at, whole texts, no sampling. Only training is bounded: labels co
 ``LABEL_PAGES`` pages drawn by hash, ``NEGATIVES`` ordinary windows a page and, in a second
 round, the ordinary window of each of these pages that the first model took for residue most.
 
-Defined results for unusual input: null and empty texts are no residue; a page shorter than a
-window is one window; without any labelled residue nothing is found; repeated pages give a row
+Defined results for unusual input: null texts and texts shorter than an n-gram are no residue; a
+page shorter than a window is one window; without any labelled residue nothing is found; repeated pages give a row
 per id; null hosts count as one host; missing boxes mean line order; extra columns are ignored.
 
 Scale: training data and model have fixed bounds (40 000 pages' windows, 2^18 weights =
@@ -140,8 +140,8 @@ class Model:
         for k in range(len(texts)):
             a, z = int(off[k]), int(off[k + 1])
             n = z - a
-            if n <= 0:
-                continue
+            if n < min(ORDERS):
+                continue  # nothing to judge by
             width = min(WINDOW, n)
             starts = n - width + 1
             s = np.zeros(starts)
