@@ -8,7 +8,7 @@ from pagemill.operators import pages as P
 from pagemill.operators import textflow as L
 from pagemill.operators.tables import find_tables
 from pagemill.options import MarkdownOptions
-from pagemill.plans.layout_queries import _HEAD, chars_of, links_of, spans_of, toc_of
+from pagemill.plans.layout_queries import _BOLD, _HEAD, _ITAL, _MONO, _NOT_WHITE, _inline, chars_of, links_of, spans_of, toc_of
 from pagemill.plans.table_queries import run_edges, run_words
 
 
@@ -43,9 +43,19 @@ def q_page_chunks(spark, d):
     )
 
 
-QUERIES = {"column_boxes": q_column_boxes, "page_markdown": q_page_markdown, "document_markdown": q_document_markdown, "page_with_tables": q_page_with_tables, "plain_elements": q_plain_elements, "page_chunks": q_page_chunks}
+def q_stream_styles(spark, d):
+    """Inline Markdown of spans read as a stream, every delivered row."""
+    from pagemill.functions import text as X
+    from pagemill.streaming.relations import drain, read_relation
+
+    s = L.line_spans(read_relation(spark, f"{d}/spans.parquet"))
+    return drain(s.select("span_id", X.inline_style(F.col("text"), X.is_bold(F.col("flags"), F.col("char_flags")), X.is_italic(F.col("flags")), X.is_mono(F.col("flags"))).alias("md")))
+
+
+QUERIES = {"stream_styles": q_stream_styles, "column_boxes": q_column_boxes, "page_markdown": q_page_markdown, "document_markdown": q_document_markdown, "page_with_tables": q_page_with_tables, "plain_elements": q_plain_elements, "page_chunks": q_page_chunks}
 
 ORACLES = {
+    "stream_styles": f"SELECT span_id, {_inline(_BOLD, _ITAL, _MONO)} AS md FROM spans WHERE text IS NOT NULL AND regexp_matches(text, '{_NOT_WHITE}')",
     "page_chunks": f"""WITH {_HEAD}, pg AS (SELECT doc_id, page FROM s GROUP BY ALL), pc AS (SELECT doc_id, CAST(max(page) + 1 AS INTEGER) AS page_count FROM s GROUP BY 1),
 tc AS (SELECT doc_id, page, count(*) AS n FROM hl GROUP BY ALL), tb AS (SELECT doc_id, page, count(*) AS n FROM (SELECT doc_id, config, page, table_no, arg_max(cells, loaded_at) AS c FROM tables_run_a GROUP BY ALL) WHERE len(c) >= 2 AND list_max(list_transform(c, lambda x: len(x))) >= 2 GROUP BY ALL),
 ch AS (SELECT doc_id, page, block, line, string_agg(c, '' ORDER BY seq) AS t FROM (SELECT doc_id, page, block, line, seq, max(c) AS c FROM chars GROUP BY ALL) GROUP BY ALL),
