@@ -233,10 +233,53 @@ def row_clusters(rows: list[Row]) -> list[list[Row]]:
     return [c for c in out if len(c) >= 2 and all(len(r.starts) >= 2 for r in c)]
 
 
+HEADER_UP, HEADER_ASIDE = 6.0, 4.0  # row heights a header may reach above and beside its table
+
+
+def header_above(rows: list[Row], cluster: list[Row], xs: list[float]) -> tuple[float, list[float]] | None:
+    """Top of the header over a cluster, and the column borders moved left to its labels.
+
+    Bands go upward from the first row while each is near. A piece that overlaps one column by
+    more than SNAP labels it; one that overlaps several ends the search. Two labelled columns
+    and half of all are needed.
+    """
+    first = cluster[0]
+    tall = first.box[3] - first.box[1]
+    gaps = sorted(b.box[1] - a.box[3] for a, b in zip(cluster, cluster[1:], strict=False))
+    reach = max(0.0, gaps[len(gaps) // 2]) + 0.75 * tall
+    limit, top, borders, labelled = first.box[1] - HEADER_UP * tall, first.box[1], list(xs), set()
+    for r in sorted((r for r in rows if r.box[3] <= first.box[1] + SNAP and all(r is not c for c in cluster)), key=lambda r: -r.box[3]):
+        if top - r.box[3] > reach or r.box[1] < limit:
+            break
+        found = []
+        for p in r.pieces:
+            if p[2] < xs[0] - HEADER_ASIDE * tall or p[0] > xs[-1] + HEADER_ASIDE * tall:
+                continue
+            over = [c for c in range(len(xs) - 1) if min(p[2], xs[c + 1]) - max(p[0], xs[c]) > SNAP]
+            if len(over) > 1:
+                # a label that begins just left of its column belongs to the one it covers most
+                share = sorted(((min(p[2], xs[c + 1]) - max(p[0], xs[c])) / (p[2] - p[0]), c) for c in over)
+                if share[-1][0] < 0.6:
+                    found = []
+                    break
+                over = [share[-1][1]]
+            found += [(c, p) for c in over]
+        if not found:
+            break
+        for c, p in found:
+            labelled.add(c)
+            if 0 < c < len(xs) - 1 and p[0] < borders[c]:
+                borders[c] = p[0]
+        top = r.box[1]
+    ok = len(labelled) >= 2 and 2 * len(labelled) >= len(xs) - 1 and all(a < b for a, b in zip(borders, borders[1:], strict=False))
+    return (top, borders) if ok else None
+
+
 def text_tables(pieces) -> list[Grid]:
-    """Tables from the alignment of text alone."""
+    """Tables from the alignment of text alone, with header labels set above them."""
     out = []
-    for cluster in row_clusters(text_rows(pieces)):
+    rows = text_rows(pieces)
+    for cluster in row_clusters(rows):
         starts = unique_sorted([s for r in cluster for s in r.starts], SHARED)
         kept = []
         for s in starts:
@@ -255,6 +298,9 @@ def text_tables(pieces) -> list[Grid]:
             ys.append(max((a.box[3] + b.box[1]) / 2, b.box[1] - 1))
         ys.append(cluster[-1].box[3] + 1)
         xs = [*kept, right]
+        if head := header_above(rows, cluster, xs):
+            ys = [head[0], max((head[0] + ys[0]) / 2, ys[0] - 1), *ys[1:]]
+            xs = head[1]
         if any(b <= a for a, b in zip(ys, ys[1:], strict=False)):
             continue
         out.append(Grid(xs, ys, [[(xs[c], ys[r], xs[c + 1], ys[r + 1]) for c in range(len(xs) - 1)] for r in range(len(ys) - 1)]))

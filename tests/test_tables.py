@@ -91,6 +91,16 @@ def test_text_tables():
     assert K.text_tables([w[:4] for w in prose]) == []
 
 
+def test_header_labels_above_a_text_table():
+    body = [word(x, y, x + 30, y + 8, f"{x}{y}") for y in range(124, 172, 12) for x in (50, 150, 250)]
+    head = [word(140, 112, 185, 120, "middle"), word(255, 112, 280, 120, "last")]
+    title = [word(50, 60, 300, 68, "A title far above")]
+    g = K.text_tables([w[:4] for w in title + head + body])
+    assert len(g) == 1 and g[0].xs[1] == 140 and K.cell_texts(g[0], head + body)[0] == ["", "middle", "last"] and len(g[0].cells) == 5
+    across = [word(60, 112, 260, 120, "one caption over everything")]
+    assert len(K.text_tables([w[:4] for w in across + body])[0].cells) == 4
+
+
 def test_find_tables_operator(spark):
     h, v = grid([0.0, 50.0, 100.0], [0.0, 20.0, 40.0])
     e = spark.createDataFrame([(1, 0, k, *r, "x") for k, rs in (("h", h), ("v", v)) for r in rs] * 2 + [(2, 0, "h", None, 0.0, 1.0, "x")], "doc_id long, page int, kind string, pos double, lo double, hi double, text string")
