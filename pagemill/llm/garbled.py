@@ -118,6 +118,7 @@ class PairScores(dict):
     def __init__(self, pairs: np.ndarray, chars: np.ndarray):
         super().__init__()
         self.pairs, self.chars = pairs, chars
+        self.memo: dict[tuple[str, str, str], tuple[float, str, str] | None] = {}
         self.n_pairs, self.n_chars = max(float(pairs.sum()), 1.0), max(float(chars.sum()), 1.0)
 
     def __missing__(self, pair: str) -> float:
@@ -204,21 +205,32 @@ def _eight_bit_text(run: str, new: str) -> bool:
 
 
 @lru_cache(65_536)
-def _eight_bit_readings(run: str) -> tuple[tuple[str, str, int], ...]:
-    """Single-byte remappings of a run that could be words: (text, mapping, characters changed)."""
-    odd = {ord(c) for c in run if ord(c) > 127}
-    seen, out = {run}, []
+def _eight_bit_maps(odd: frozenset[int]) -> tuple[tuple[str, dict[int, str]], ...]:
+    """The different remappings of a set of characters that keep letters letters."""
+    seen, out = set(), []
     for wrong in WRONG:
         if not odd <= to_bytes(wrong).keys():
             continue
         for right in RIGHT_8BIT:
-            if right == wrong:
+            table = eight_bit(wrong, right)
+            part = {o: table[o] for o in odd if table[o] != chr(o)}
+            key = frozenset(part.items())
+            if not part or key in seen:
                 continue
-            new = run.translate(eight_bit(wrong, right))
-            if new not in seen:
-                seen.add(new)
-                if _eight_bit_text(run, new):
-                    out.append((new, f"{right} as {wrong}", sum(a != b for a, b in zip(run, new, strict=True))))
+            seen.add(key)
+            if all(b.isalpha() for o, b in part.items() if chr(o).isalpha()):
+                out.append((f"{right} as {wrong}", part))
+    return tuple(out)
+
+
+@lru_cache(65_536)
+def _eight_bit_readings(run: str) -> tuple[tuple[str, str, int], ...]:
+    """Single-byte remappings of a run that could be words: (text, mapping, characters changed)."""
+    out = []
+    for how, table in _eight_bit_maps(frozenset(ord(c) for c in run if ord(c) > 127)):
+        new = run.translate(table)
+        if _eight_bit_text(run, new):
+            out.append((new, how, sum(a != b for a, b in zip(run, new, strict=True))))
     return tuple(out)
 
 
@@ -229,10 +241,19 @@ def _odd_mean(text: str, scores: list[float]) -> float:
     return sum(odd) / len(odd) if odd else -9.0
 
 
-def _best(text: str, lo: int, hi: int, model: PairScores, eight: bool = True) -> tuple[float, str, str] | None:
-    """Best restoration of text[lo:hi] in its surroundings: (nats won, mapping, new run)."""
-    run = text[lo:hi]
-    left, right = text[max(0, lo - 1) : lo], text[hi : hi + 1]
+def _best(text: str, lo: int, hi: int, model: PairScores) -> tuple[float, str, str] | None:
+    """Best restoration of text[lo:hi] in its surroundings: (nats won, mapping, new run). The same
+    words come again and again, so answers are kept."""
+    key = (text[max(0, lo - 1) : lo], text[lo:hi], text[hi : hi + 1])
+    memo = model.memo
+    if key not in memo:
+        if len(memo) > 200_000:
+            memo.clear()
+        memo[key] = _search(*key, model)
+    return memo[key]
+
+
+def _search(left: str, run: str, right: str, model: PairScores) -> tuple[float, str, str] | None:
     base = sum(model.scores(left + run + right))
     best = None
     for new, how in _utf8_chains(run):
@@ -242,7 +263,7 @@ def _best(text: str, lo: int, hi: int, model: PairScores, eight: bool = True) ->
         won = base - sum(after)
         if won >= MARGIN_UTF8 and _odd_mean(left + new + right, after) <= WORST_UTF8 and (best is None or won > best[0]):
             best = (won, how, new)
-    if best or not eight:
+    if best:
         return best
     for new, how, changed in _eight_bit_readings(run):
         after = model.scores(left + new + right)
