@@ -6,10 +6,12 @@ maximum-scoring segments of a text are its improbable runs. Only inside those ru
 mappings are tried: the run's characters back to bytes by the wrong encoding, the bytes to
 characters by the right one. A mapping is kept if it makes the run clearly more probable.
 Characters that no correct decoding leaves behind (U+FFFD, C1 controls) mark a text at once.
+A misread UTF-8 sequence that lost its end has no inverse: it is found where its begin is
+improbable and some character of the corpus that it can have been is clearly more probable.
 
 Defined results for unusual input: null and empty texts are clean; a text of any length is
-treated whole; repeated rows of an id give one row; texts whose bytes are lost (U+FFFD) are
-reported and keep the lost characters; an empty table gives no rows; further columns are
+treated whole; repeated rows of an id give one row; texts whose bytes are lost (U+FFFD, or
+the end of a sequence) are reported and keep what is left of those characters; an empty table gives no rows; further columns are
 ignored.
 
 Scale: pair counts go into tables of fixed size (2^18 pairs, 2^16 characters, hashed), summed
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import add
@@ -41,6 +44,8 @@ FLOOR = 2e-8
 MARGIN_UTF8, MARGIN_8BIT, PER_CHAR = 3.0, 6.0, 2.0
 #: mean improbability a restored run may have in the pairs that hold a non-ASCII character
 WORST_UTF8, WORST_8BIT = 6.5, 2.0
+#: nats a lost end must explain and improbability that may be left; pairs searched for one
+MARGIN_CUT, WORST_CUT, ODD_CUT = 7.0, 8.0, 6.0
 #: misreadings on top of each other that are undone
 ROUNDS = 3
 
@@ -119,6 +124,8 @@ class PairScores(dict):
         super().__init__()
         self.pairs, self.chars = pairs, chars
         self.memo: dict[tuple[str, str, str], tuple[float, str, str] | None] = {}
+        self.cut: dict[tuple[str, str, str], bool] = {}
+        self.ranges: dict[tuple[int, int], str] = {}
         self.n_pairs, self.n_chars = max(float(pairs.sum()), 1.0), max(float(chars.sum()), 1.0)
 
     def __missing__(self, pair: str) -> float:
@@ -134,6 +141,13 @@ class PairScores(dict):
     def known(self, text: str) -> bool:
         return bool((self.chars[char_bucket(code_points(text))] >= SEEN).all()) if text else True
 
+    def seen_in(self, lo: int, hi: int) -> str:
+        """The characters of a range that stand in the corpus."""
+        if (lo, hi) not in self.ranges:
+            at = np.flatnonzero(self.chars[char_bucket(np.arange(lo, hi + 1))] >= SEEN) + lo
+            self.ranges[lo, hi] = "".join(c for c in map(chr, at) if c.isprintable() or c.isspace())
+        return self.ranges[lo, hi]
+
     def scores(self, text: str) -> list[float]:
         t = f"\n{text}\n"
         return list(map(self.__getitem__, map(add, t, t[1:])))
@@ -292,6 +306,82 @@ def _runs(text: str, scores: list[float]) -> list[tuple[int, int]]:
 _TOKEN = re.compile(r"[^ \n]+")
 
 
+@lru_cache
+def _cut_leads() -> dict[str, tuple[tuple[str, int], ...]]:
+    """(codec, byte) of each character that a codec reads the first byte of a sequence as.
+    Punctuation is left out: dashes and quotes stand alone in right text."""
+    out: dict[str, dict[tuple[int, frozenset], tuple[str, int]]] = {}
+    for wrong in WRONG:
+        for b in range(0xC2, 0xF5):
+            c = byte_chars(wrong)[b]
+            if c.isalpha() or unicodedata.category(c)[0] == "S":
+                out.setdefault(c, {})[b, frozenset(byte_chars(wrong)[0x80:0xC0])] = (wrong, b)
+    return {c: tuple(v.values()) for c, v in out.items()}
+
+
+@lru_cache(65_536)
+def _cut_sequences(tail: str) -> tuple[tuple[int, int, int], ...]:
+    """What ``tail`` may begin with of a UTF-8 sequence that lost its end: (characters left of
+    it, first and last code point it can have been)."""
+    out = set()
+    for wrong, b in _cut_leads().get(tail[0], ()):
+        size, code = (2, b & 31) if b < 0xE0 else (3, b & 15) if b < 0xF0 else (4, b & 7)
+        n = 1
+        while n < size and n < len(tail) and "\x80" <= to_bytes(wrong).get(ord(tail[n]), "") <= "\xbf":
+            code, n = code << 6 | ord(to_bytes(wrong)[ord(tail[n])]) & 63, n + 1
+        room = 6 * (size - n)
+        if 0 < room <= 12:
+            lo = max(code << room, (0x80, 0x800, 0x10000)[size - 2])
+            out.add((n, lo, (code + 1 << room) - 1))
+    return tuple(sorted(out))
+
+
+def _cut_at(text: str, k: int, model: PairScores) -> bool:
+    """Whether text[k] begins a sequence that lost its end: some character of the corpus that
+    it can have been is clearly more probable there, alone or with a blank that was the end."""
+    a, b = k, k + 1
+    while a > 0 and text[a - 1].isalpha():
+        a -= 1
+    while b < len(text) and text[b].isalpha():
+        b += 1
+    rest = text[a:k] + text[k + 1 : b]
+    key = (text[k - 1] if k else "\n", f"{text}\n"[k : k + 6], f"{rest.isupper()} {''.join(sorted({_script(c) for c in rest}))}")
+    memo = model.cut
+    if key not in memo:
+        if len(memo) > 200_000:
+            memo.clear()
+        memo[key] = _cut_search(*key[:2], rest, model)
+    return memo[key]
+
+
+def _cut_search(left: str, tail: str, rest: str, model: PairScores) -> bool:
+    scripts = {_script(c) for c in rest}
+    if not tail[0].isalpha() and not (left.isalpha() or tail[1:2].isalpha()):
+        return False  # a symbol that stands alone
+    for n, lo, hi in _cut_sequences(tail[:4]):
+        for end in (n, n + 1) if tail[n : n + 1] == " " else (n,):
+            right = tail[end : end + 1]
+            if not right:
+                continue
+            base = sum(map(model.__getitem__, map(add, left + tail[:end], tail[: end + 1])))
+            for new in model.seen_in(lo, hi) if base >= MARGIN_CUT else ():
+                if new.isalpha() and (len((scripts | {_script(new)}) - {""}) > 1 or (new.lower() == tail[0].lower() and not left.islower()) or (rest.isupper() and new.islower())):
+                    continue  # mixed scripts, or capitals among capitals
+                if not new.isalpha() and end == 1 and left.isalpha() and right.isalpha():
+                    continue  # a letter inside a word
+                after = max(0.0, model[left + new]) + max(0.0, model[new + right])
+                if after <= WORST_CUT and base - after >= MARGIN_CUT:
+                    return True
+    return False
+
+
+def cut_sequences(text: str, model: PairScores) -> list[int]:
+    """Where ``text`` holds the begin of a UTF-8 sequence, misread, whose end was lost."""
+    scores = model.scores(text)
+    leads = _cut_leads()
+    return [k for k, c in enumerate(text) if c > "\x7f" and c in leads and scores[k] + scores[k + 1] >= ODD_CUT and _cut_at(text, k, model)]
+
+
 def restore(text: str, model: PairScores) -> tuple[bool, str, str]:
     """(garbled, restored text, mappings used)."""
     if not text or text.isascii():
@@ -323,7 +413,7 @@ def restore(text: str, model: PairScores) -> tuple[bool, str, str]:
                     changed = True
         if not changed:
             break
-    sure = bool(_SURE.search(text))
+    sure = bool(_SURE.search(text)) or (not used and bool(cut_sequences(text, model)))
     return bool(used) or sure, text, "; ".join(dict.fromkeys(used)) or ("lost" if sure else "")
 
 

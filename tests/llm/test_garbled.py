@@ -79,3 +79,17 @@ def test_clean_text_is_left(spark):
     m = fit_pairs(spark.createDataFrame([(1, t, None, "") for t in LINES * 200], DDL), ["text"])
     for t in [*LINES, *CLEAN]:
         assert restore(t, m)[:2] == (False, t)
+
+
+CUT = ["Die Bürgerschaft hörte die mÃde Wäscherei", "La société était fermÃe", "prÃs de la rivière après l’été", "Ãpicerie", "the baker said, with regret,â€ and", "die groГe Brücke", "die BrГcke", "La soci├t├ de la ville", "irmÃ  da velha"]
+
+
+def test_sequences_that_lost_their_end_are_reported(spark):
+    from pagemill.llm.garbled import fit_pairs
+
+    more = ["épicerie de la ville", "“The bridge is closed, with regret,” said the baker", "A irmã da velha estação"]
+    m = fit_pairs(spark.createDataFrame([(1, t, None, "") for t in [*LINES, *more] * 200], DDL), ["text"])
+    for t in CUT:
+        assert restore(t, m) == (True, t, "lost"), t
+    for t in [*LINES, *more, *CLEAN, "MAÇÃ E LÃ, 978 RÉIS", "Âge moyen", "¬ 1935", "Реlumã e Реluzãо"]:
+        assert not restore(t, m)[0], t
