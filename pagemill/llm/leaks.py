@@ -49,6 +49,8 @@ REACH, GAP_LINES = 30, 14
 #: words a stretch must have to count; a pair is verified from one stretch of LONGEST words on,
 #: or ENOUGH words in stretches that follow each other. A run of 20 in two parts has one of 10.
 PART, LONGEST, ENOUGH = 5, 10, 14
+#: words of a run on one diagonal that may look unlike wherever they stand
+ODD = 3
 
 
 def seed_hashes(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
@@ -163,7 +165,8 @@ def candidates(w: Words, index: ItemIndex, page, item, at, pos) -> list[tuple[in
     """(page, item, first and last word of the page) worth verifying.
 
     Hits on one diagonal are one stretch: item and page words go side by side. A stretch counts
-    as far as words stay alike on both sides of its hits.
+    as far as words stay alike on both sides of its hits. Words misread too badly to look alike
+    part stretches; where most words between are alike, verification judges the rest.
     """
     if not len(page):
         return []
@@ -174,6 +177,7 @@ def candidates(w: Words, index: ItemIndex, page, item, at, pos) -> list[tuple[in
     page, item, diagonal, block = page[new], item[new], diagonal[new], block[new]
     bags, lengths = w.bags(), (w.end - w.start).astype(np.int32)
     total: dict[tuple[int, int], list] = {}
+    dense: set[tuple[int, int]] = set()
     for c in range(0, len(page), 20_000):
         p, i, d = page[c : c + 20_000, None], item[c : c + 20_000, None], diagonal[c : c + 20_000, None]
         q = (block[c : c + 20_000, None] * LEAD - LEAD) + np.arange(WINDOW)[None, :]
@@ -181,17 +185,27 @@ def candidates(w: Words, index: ItemIndex, page, item, at, pos) -> list[tuple[in
         inside = (q >= 0) & (q < index.size[i]) & (a >= w.offsets[p]) & (a < w.offsets[p + 1])
         k, a = np.where(inside, index.begin[i] + q, 0), np.where(inside, a, 0)
         ok = inside & _soft(index.flat[k], w.hashes[a], index.bags[k], bags[a], index.lengths[k], lengths[a])
-        # longest unbroken stretch of each row
+        # every unbroken stretch of each row
         step = np.arange(1, WINDOW + 1)[None, :]
         run = step - np.maximum.accumulate(np.where(ok, 0, step), axis=1)
-        best, end = run.max(axis=1), run.argmax(axis=1)
-        for g in np.flatnonzero(best >= PART):
-            n, e = int(best[g]), int(a[g, end[g]])
+        ends = run >= PART
+        ends[:, :-1] &= run[:, 1:] == 0
+        for g, z in zip(*np.nonzero(ends), strict=True):
+            n, e = int(run[g, z]), int(a[g, z])
             have = total.setdefault((int(p[g, 0]), int(i[g, 0])), [{}, e, e])
-            stretch = (int(d[g, 0]), int(q[g, end[g]]))
+            stretch = (int(d[g, 0]), int(q[g, z]))
             have[0][stretch] = max(have[0].get(stretch, 0), n)
             have[1], have[2] = min(have[1], e - n + 1), max(have[2], e)
-    return [(*k, low, high) for k, (parts, low, high) in total.items() if max(parts.values()) >= LONGEST or _chained(parts) >= ENOUGH]
+        # all words but ODD alike among as many as a run needs, however the others part them
+        sums = np.cumsum(np.pad(ok, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+        held = sums[:, index.min_words :] - sums[:, : -index.min_words]
+        for g in np.flatnonzero(held.max(axis=1, initial=0) >= index.min_words - ODD):
+            key = (int(p[g, 0]), int(i[g, 0]))
+            at = a[g, ok[g]]
+            have = total.setdefault(key, [{}, int(at[0]), int(at[-1])])
+            have[1], have[2] = min(have[1], int(at[0])), max(have[2], int(at[-1]))
+            dense.add(key)
+    return [(*k, low, high) for k, (parts, low, high) in total.items() if k in dense or max(parts.values()) >= LONGEST or _chained(parts) >= ENOUGH]
 
 
 _GROUPS = (("rn", "m"), ("nn", "m"), ("ni", "m"), ("cl", "d"), ("vv", "w"), ("ii", "n"), ("li", "h"))

@@ -89,6 +89,21 @@ def test_damage_columns_and_adverts(spark):
     assert got[(1, 0)] == 40 and got[(2, 1)] == 32 and got[(3, 2)] in (30, 31)  # a neighbour may pass for a misread word
 
 
+def test_misread_words_split_a_run_and_it_is_found(spark):
+    rng = random.Random(5)
+    odd = {"and": "ancl", "old": "olcl"}  # one word to a reader, but not alike in letters
+    items, pages = [], []
+    for lengths in ((8, 6, 4), (6, 6, 6), (4, 4, 4, 5)):
+        inner = []
+        for n in lengths:
+            inner += [*words(rng, n), rng.choice(list(odd))]
+        inner = inner[:-1] if len(inner) > 20 else inner
+        pages.append(("\n".join(page(rng, [odd.get(w, w) for w in inner])), None))
+        items.append(" ".join(inner))
+    got = run(spark, pages, list(enumerate(items)))
+    assert set(got) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_unusual_input(spark):
     rng = random.Random(2)
     t = words(rng, 30)
