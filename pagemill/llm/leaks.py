@@ -44,8 +44,8 @@ SEEDS_A_RUN = 40
 COMMON = 3
 BLOCK_WORDS = 200_000
 BITS = 22
-#: words around hits that a run may reach, and lines that may stand between its parts
-REACH, GAP_LINES = 30, 14
+#: lines that may stand between the parts of a run
+GAP_LINES = 14
 #: words a stretch must have to count; a pair is verified from one stretch of LONGEST words on,
 #: or ENOUGH words in stretches that follow each other. A run of 20 in two parts has one of 10.
 PART, LONGEST, ENOUGH = 5, 10, 14
@@ -313,8 +313,12 @@ def find_in_batch(texts: list[str], index: ItemIndex) -> list[tuple[int, int, in
     """(page, item, words) of all pairs that share at least ``min_words`` consecutive words."""
     w = Words(texts, alike=True)
     out = []
+    # as far as a run of min_words can go in parts of two words with GAP_LINES between them
+    reach = index.min_words + index.min_words // 2 * GAP_LINES
     for p, i, low, high in candidates(w, index, *hits(w, index)):
-        a, b = max(w.offsets[p], low - REACH), min(w.offsets[p + 1], high + REACH)
+        begin, end = w.offsets[p], w.offsets[p + 1]
+        a = begin + np.searchsorted(w.first[begin:end], w.first[low] - reach, "left")
+        b = begin + np.searchsorted(w.first[begin:end], w.first[high] + reach, "right")
         n = longest_run(index.words[i], index.hashes[i], w.words(a, b), w.hashes[a:b], w.first[a:b], w.last[a:b])
         if n >= index.min_words:
             out.append((p, i, n))

@@ -104,6 +104,14 @@ def test_misread_words_split_a_run_and_it_is_found(spark):
     assert set(got) == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_long_inserts_do_not_end_a_run(spark):
+    rng = random.Random(12)
+    item = words(rng, 20)
+    inserts = [lines(words(rng, 36)), [" ".join(words(rng, 12)) for _ in range(13)], [" ".join(words(rng, 12)) for _ in range(16)]]
+    pages = [("\n".join(lines(words(rng, 40)) + lines(item[:16]) + x + [" ".join(item[16:])] + lines(words(rng, 40))), None) for x in inserts]
+    assert set(run(spark, pages, [(0, " ".join(item))])) == {(0, 0), (1, 0)}
+
+
 def test_unusual_input(spark):
     rng = random.Random(2)
     t = words(rng, 30)
