@@ -12,7 +12,8 @@ Defined results for unusual input:
   strict JSON (also with ``NaN``), or nested deeper than Python's parser goes: no nodes;
 * ``null`` or any other non-object in a list: keeps its position, is no node;
 * one object in place of a list: a list of one; an absent, null or empty list: no nodes;
-* an envelope: the first object inside that holds ``blocks`` is the record;
+* an envelope, however deep: the first object inside, depth first, that holds ``blocks`` is
+  the record; further ones beside it have no nodes, as paths begin at a block and would clash;
 * boxes as ``[x0,y0,x1,y1]`` or ``{"x0":..}``, numbers as strings: brought to one form; what
   does not fit a column's type becomes null there and stays in ``extra``;
 * lone surrogates in escapes: U+FFFD; repeated payloads: repeated rows, one set a ``rec_id``;
@@ -60,20 +61,17 @@ def parse_record(payload: str | None):
         return None
 
 
-def find_record(doc, depth: int = 6) -> dict | None:
+def find_record(doc) -> dict | None:
     """The object that holds ``blocks``: the document itself or the first inside an envelope."""
-    if isinstance(doc, dict):
-        if "blocks" in doc:
-            return doc
-        inner = doc.values()
-    elif isinstance(doc, list):
-        inner = doc
-    else:
-        return None
-    if depth:
-        for v in inner:
-            if isinstance(v, dict | list) and (got := find_record(v, depth - 1)) is not None:
-                return got
+    stack = [doc]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, dict):
+            if "blocks" in v:
+                return v
+            v = list(v.values())
+        if isinstance(v, list):
+            stack += [x for x in reversed(v) if isinstance(x, dict | list)]
     return None
 
 

@@ -49,3 +49,12 @@ def test_misfit_becomes_null(spark):
 def test_very_long_payload(spark):
     p = json.dumps({"blocks": [{"lines": [{"spans": [{"chars": [{"c": "x"}] * 50_000}]}]}]})
     assert flatten_records(make(spark, [p])).count() == 50_003
+
+
+def test_deep_envelopes_and_several_records(spark):
+    deep = FULL
+    for k in range(40):
+        deep = {"x": 1, f"e{k}": [deep]}
+    want = found(spark, [json.dumps(FULL)])
+    assert want and found(spark, [json.dumps(deep)]) == want
+    assert found(spark, [json.dumps([{"a": [[FULL]]}, {"blocks": [{}] * 9}])]) == want  # the first one, depth first
