@@ -1,67 +1,116 @@
 """Pages with template residue, filler, error messages or script notices in place of content.
 
-Method: a linear classifier with an L2 penalty on hashed character n-grams of short windows,
-plus length and title features of the page, trained on weak labels: response status lines and
-fixed phrases, read with the letters that scans confuse folded together. Hosts (newspapers) of
-the validation set are not in the training set. A page is found if any window of it scores
-over the threshold, so residue inside an article counts as much as a page of nothing else.
+Method: a linear classifier with an L2 penalty on hashed n-grams (characters, and shapes in
+which all letters are one) of short windows, plus length and title features of the page,
+trained on weak labels. Labels come from rules, not from a list of texts: status lines, words
+of machinery side by side, placeholder syntax, filler. Short pages that the rules take for
+residue teach further phrases: their runs of PHRASE words, where two such pages share one and
+ordinary pages do not, also label pages. Hosts (newspapers) of the validation set are not in the training set, and
+``fit_model(skip=...)`` measures rules that were left out. A page is found if any window of it
+scores over the threshold, so residue inside an article counts as much as a page of nothing
+else.
 
 Windows are scored as differences of running sums over the whole page, so every window of every
-page is looked at, whole texts, no sampling. Only training is bounded: labels come from at most
-``LABEL_PAGES`` pages drawn by hash, ``NEGATIVES`` ordinary windows a page and, in a second
-round, the ordinary window of each of these pages that the first model took for residue most.
+page is looked at, whole texts, no sampling. Only training is bounded: labels come from about
+``LABEL_PAGES`` pages drawn by hash, at most ``PAGE_WINDOWS`` windows of each, ``NEGATIVES``
+ordinary windows a page and, in a second round, the ordinary window of each of these pages that
+the model before took for residue most (what no rule and no learned phrase knows counts as
+ordinary there, so wording of many pages must be known to one of them); phrases from about ``SHORT_PAGES`` short and
+``ORDINARY_PAGES`` ordinary pages.
 
 Defined results for unusual input: null texts and texts shorter than an n-gram are no residue; a
 page shorter than a window is one window; without any labelled residue nothing is found; repeated pages give a row
 per id; null hosts count as one host; missing boxes mean line order; extra columns are ignored.
 
-Scale: training data and model have fixed bounds (40 000 pages' windows, 2^18 weights =
-1 MB, broadcast); scoring is a narrow vectorised map without a shuffle.
+Scale: training data and model have fixed bounds (the windows above, 2^18 weights = 1 MB,
+broadcast); the drawn pages are written once; scoring is a narrow vectorised map without a
+shuffle.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.leaks import slices
 from pagemill.llm.pages import BREAKS, CLASSES, page_texts
+from pagemill.session import cut
 
 WINDOW = 40
+#: orders of the character n-grams, and of those of the shape, in which all letters are one
 ORDERS = (3, 5)
+SHAPE_ORDER = 4
 BITS = 18
 LABEL_PAGES = 40_000
-NEGATIVES = 3
+NEGATIVES = 4
+#: rounds that add the ordinary windows taken for residue
+MINED = 1
 SEED = 11
 PENALTY = 2e-6
 #: log odds from which a window counts as residue
 THRESHOLD = 2.5
 
-# Phrases of pages that hold no content, for weak labels. Long ones are searched
-# with confusable letters folded, short ones and marks as they are (lower case).
-PHRASES = (
-    # scripts and cookies
-    "needs javascript to be", "needs scripts to be", "javascript is disabled", "javascript is blocked", "please enable javascript", "scripting is blocked", "scripting is switched off", "unblock scripts for", "allow scripts for this", "enable scripts for", "works best with scripts", "works best with javascript", "accept cookies and scripts", "turn on cookies and", "before the newspaper can be", "your browser is out of date", "page image cannot be", "is disabled. the page", "is blocked. the page", "is switched off. the page", "active content is", "aktivieren sie javascript", "erlauben sie javascript", "aktivieren sie skripte", "erlauben sie skripte", "ohne javascript kann", "ohne skripte kann", "veuillez autoriser", "veuillez activer", "autoriser les scripts", "activer les scripts", "pour afficher ce journal", "pour lire ce journal", "if nothing appears",
-    "turn on active content", "allow active content", "enable active content", "please turn on scripts", "please turn on scripting", "please enable scripting", "please enable scripts", "your browser is not supported", "browser is not supported",
-    # errors
-    "image could not be", "column could not be", "accès refusé", "erreur 999 :", "status 999:", "error 999:", "http 999:", "too many requests from", "requests from your address", "gateway timeout", "gateway time-out", "reader did not answer", "server did not answer", "failed: out of memory", "failed: no text returned", "failed: worker lost", "asked for is not available", "requested is not available", "internal server error", "unexpected server error", "bad gateway", "service unavailable", "service indisponible", "délai dépassé", "request timed out", "timed out while", "null pointer in", "stack overflow in", "type error in", "pageview.js", "text.layer at", "tile.load at", "trace id", "job failed", "worker lost", "failed to load", "could not be fetched", "could not be read. ", "could not be displayed", "cannot be displayed", "is not available on this server", "not available on this server", "find the page you are looking", "find the issue you are looking", "find the document you are", "you are looking for", "something went wrong", "please try again later", "nicht gefunden. ", "seite nicht gefunden", "ausgabe nicht gefunden", "prüfen sie die adresse", "kehren sie zur startseite", "demandée est introuvable", "demandée est indisponible", "la ressource demandée", "zeitüberschreitung beim laden", "interner fehler beim laden", "maintenance in progress", "scheduled work in progress", "the archive is offline until", "the archive is closed until", "permission to open this issue", "permission to view this issue", "lack permission to", "permission refused", "your session has ended", "your session has expired", "sign in again to continue",
-    # filler
-    "lorem ipsum", "dolor sit amet", "copy goes here", "caption goes here", "text goes here", "headline goes here", "placeholder text for", "dummy text for", "sample text for", "nonsense words to show", "mock words to show", "show the column width", "test paragraph, replace", "replace before issue", "replace me. replace me", "text text text text", "texte de remplissage", "ein fülltext für", "ist blindtext für", "ici viendra le texte", "hier steht später", "1234567890 1234567890",
-    # forms
-    "picture to follow", "text to follow", "caption to follow", "name of editor", "name of author", "tk tk date tk", "tk tk caption tk", "tk tk", "advert copy to come", "body copy to come", "copy to come]", "your text here", "your title here", "your name here", "tk tk deck tk", "%s of %s, no. %d", "columns, {9}",
-    "insert headline here", "insert name here", "insert caption here", "insert date here", "headline slug tbd", "story slug tbd", "page slug tbd", "published on nan", "by undefined, for null", "issue no. null", "page undefined", "titre à compléter", "datum einfügen", "name einfügen", "titel einfügen", "date à compléter", "nom à compléter",
-)
-MARKS = (
-    "page_label", "paper_name", "issue_date", "column_no", "article_body", "editor.name", "item.title", "<headline", "<caption", "<byline", "<subhead", "[headline", "[caption", "[byline", "[subhead", "{headline", "{caption", "{byline", "{subhead", "__headline", "__caption", "__byline", "__subhead", "@@", "{%", "%}", "$title$", "$date$", "$name$", "$page$", "?headline?", "?caption?", "?byline?", "?title?", "&lt;", "&gt;", "[your ", "<your ", "%s, no.", "{9}",
-    "{{", "}}", "<%", "%>", "${", "#{", "[[", "]]", "<<", "%(", "[object object]", "asdf jkl", "qwer jkl", "bla blah", "blah bla", "xxxxx xxx", "slug tbd", "undefined", "nan.nan", "javascript", "999 not found", "999 gone", "999 forbidden", "999 bad gateway", "999 bad request", "999 unauthorized", "999 service unavailable", "999 internal server error", "%9$s", "$paper$", "(name of", "<name of", "[name of", "à compléter", "einfügen",
+#: pages of at most this many characters count as short: a page of a few words is an article rarely
+SHORT = 200
+#: words of a learned phrase, windows a labelled page gives
+PHRASE, PAGE_WINDOWS = 4, 16
+#: short pages phrases are learned from; ordinary pages they are checked in, and how many of these may hold one
+SHORT_PAGES, ORDINARY_PAGES, ORDINARY_HITS = 20_000, 5_000, 1
+
+# Weak labels are rules, not a list of texts: kinds of words that stand side by side (or up to
+# ``gap`` words apart) where a page speaks of its own machinery instead of the news.
+KINDS = {
+    "javascript": "javascript",
+    "scripts": "scripts scripting skripte skripts cookies",
+    "switch": "enable enabled enabling disabled allow allowed activate activated activer activez autoriser autorisez aktivieren aktiviert erlauben erlaubt turn turned switch switched block blocked unblock need needs require requires required accept",
+    "your": "your votre ihr ihre ihren",
+    "browser": "browser navigateur",
+    "error": "error erreur fehler status http code",
+    "number": "999",
+    "reason": "forbidden gone unauthorized conflict",
+    "page": "page file document issue seite datei dokument ausgabe", "not": "not nicht", "found": "found gefunden", "bad": "bad", "gateway": "gateway", "request": "request requests", "internal": "internal interner", "server": "server serveur", "service": "service",
+    "unavailable": "unavailable indisponible", "timeout": "timeout time-out timed", "too": "too", "many": "many", "load": "connection loading request requête",
+    "session": "session sitzung", "sign": "sign log", "in": "in", "again": "again",
+    "mock": "dummy sample placeholder mock nonsense filler test", "copy": "text copy words paragraph", "filler": "blindtext fülltext platzhalter", "texte": "texte", "de": "de", "remplissage": "remplissage",
+    "slot": "slug ort lieu place copy text caption headline picture photo title name date byline story advert subhead titel datum bild titre nom texte légende", "to": "to", "come": "come follow", "goes": "goes comes", "here": "here", "insert": "insert your enter type", "tbd": "tbd tbc tk slug",
+    "fill": "einfügen ergänzen", "job": "job task worker thread", "fail": "failed lost aborted crashed", "on": "on at by for", "à": "à", "complete": "compléter insérer", "ici": "ici hier", "later": "viendra später", "of": "of", "person": "editor author reporter photographer writer",
+    "keys": "asdf asdfgh qwer qwerty jkl jkl; hjkl zxcv", "bla": "bla blah",
+    "undefined": "undefined nan.nan nan.nan.nan [object", "nan": "nan null", "null": "null",
+}
+#: kinds of words in order, words that may stand between two of them
+RULES = (
+    (("javascript",), 0), (("scripts", "switch"), 4), (("switch", "scripts"), 4),
+    (("browser",), 0),
+    (("error", "number"), 0), (("number", "not", "found"), 0), (("page", "not", "found"), 0), (("number", "reason"), 0), (("bad", "gateway"), 0), (("number", "bad", "request"), 0), (("server", "error"), 0), (("service", "unavailable"), 0), (("gateway", "timeout"), 0), (("too", "many", "request"), 0), (("load", "timeout"), 1),
+    (("your", "session"), 0), (("sign", "in", "again"), 0),
+    (("mock", "copy"), 0), (("filler",), 0), (("texte", "de", "remplissage"), 0),
+    (("slot", "to", "come"), 0), (("slot", "goes", "here"), 0), (("insert", "slot", "here"), 0), (("slot", "tbd"), 0), (("tbd", "tbd"), 0), (("slot", "fill"), 0), (("job", "fail"), 2), (("slot", "à", "complete"), 0), (("ici", "later"), 2), (("slot", "of", "person"), 0),
+    (("keys", "keys"), 1), (("bla", "bla"), 0),
+    (("undefined",), 0), (("on", "nan"), 0), (("null", "null"), 3),
 )
+#: words of machinery; a short page that holds two of them is residue
+MACHINERY = frozenset(
+    "error erreur fehler server serveur session sitzung request requests timed timeout browser viewer reader scripts skripte javascript cookies file access accès permission login loading load laden failed unavailable unable displayed maintenance offline reload retry cannot trace exception null introuvable indisponible délai zeitüberschreitung interner aktivieren erlauben autoriser activer veuillez bitte sign available fetched fetching address adresse ressource gefunden refused refusé device app job worker memory pointer overflow stack trace".split()
+)
+#: placeholder syntax of template languages and formats: what it cannot be without, and its pattern
+SYNTAX = {
+    "braces": ("{{", r"\{\{[^{}]{0,40}\}\}"), "block": ("{%", r"\{%[^{}]{0,40}%\}"), "dollar": ("${", r"\$\{[^{}]{0,40}\}"), "hash": ("#{", r"#\{[^{}]{0,40}\}"), "percent tag": ("<%", r"<%=?[^<>]{0,40}%>"), "double bracket": ("[[", r"\[\[[^\[\]]{0,40}\]\]"),
+    "guillemets": ("<<", r"<<[^<>]{0,40}>>"), "at signs": ("@@", r"@@[^@]{1,40}@@"), "underscores": ("__", r"__[a-z]\w{0,30}__"), "format": ("%(", r"%\([a-z_]{1,30}\)[sd]"), "entity": ("&lt;", r"&lt;[^&]{1,40}&gt;"), "dollar name": ("$", r"\$[a-z_]{2,30}\$"), "question": ("?", r"\?[a-z_]{3,30}\?"),
+    "numbered": ("9", r"\{\d+\}|%\d\$[sd]\b"), "printf": ("%", r"%[sd]\b.{0,20}%[sd]\b"), "identifier": ("", r"[\[({<][a-z]{2,20}[._][a-z_.]{2,30}[\])}>]"), "bracketed slot": ("", r"[\[<{](?:your|insert|name|enter|headline|caption|byline|subhead|title|date)\b[^\]>}]{0,40}[\]>}]"),
+    "crosses": ("xxx", r"(?<!\w)x{3,}(?: x{2,})+"), "digits": ("99999999", r"\b9{8,}\b"), "source line": (".", r"\.(?:js|ts|py|java|php|cs|rb|cpp|dll|exe)\b"), "failed": ("failed: ", r"failed: "),
+}
 #: words of the customary filler passage; four in a row are filler
 FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur".split())
+#: names of all rules, to leave some out
+RULE_NAMES = (*(" ".join(kinds) for kinds, _ in RULES), *SYNTAX, "lorem", "repeat", "short")
 
 
 @lru_cache
@@ -112,6 +161,18 @@ def gram_buckets(c: np.ndarray, order: int) -> np.ndarray:
     return (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
+@lru_cache
+def _shapes() -> np.ndarray:
+    return np.array([ord("a") if chr(i).isalpha() else i for i in range(1 << 16)], np.uint32)
+
+
+def window_grams(c: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(order, bucket at each start) of all kinds of n-grams; buckets under 32 are kept free."""
+    grams = [(o, gram_buckets(c, o)) for o in ORDERS]
+    grams.append((SHAPE_ORDER, gram_buckets(_shapes()[c.astype(np.int64)], SHAPE_ORDER)))
+    return [(o, np.maximum(b, 32)) for o, b in grams]
+
+
 def page_features(length: int, at_top: bool) -> list[int]:
     """Buckets of the page's length and of the window standing in its title."""
     size = 0 if length < 60 else 1 if length < 150 else 2 if length < 400 else 3 if length < 1500 else 4
@@ -119,8 +180,7 @@ def page_features(length: int, at_top: bool) -> list[int]:
 
 
 def window_features(c: np.ndarray, length: int, at_top: bool) -> np.ndarray:
-    grams = np.concatenate([gram_buckets(c, o) for o in ORDERS])
-    return np.concatenate([np.maximum(grams, 32), page_features(length, at_top)]).astype(np.int32)
+    return np.concatenate([*(b for _, b in window_grams(c)), page_features(length, at_top)]).astype(np.int32)
 
 
 class Model:
@@ -132,10 +192,7 @@ class Model:
     def best_windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Highest window score of each text and its start in the folded stream, with the stream."""
         c, off = stream(texts)
-        gap = {}
-        for o in ORDERS:
-            b = np.maximum(gram_buckets(c, o), 32)
-            gap[o] = np.concatenate([[0.0], np.cumsum(self.weights[b], dtype=np.float64)])
+        gaps = [(o, np.concatenate([[0.0], np.cumsum(self.weights[b], dtype=np.float64)])) for o, b in window_grams(c)]
         score, where = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
         for k in range(len(texts)):
             a, z = int(off[k]), int(off[k + 1])
@@ -145,9 +202,8 @@ class Model:
             width = min(WINDOW, n)
             starts = n - width + 1
             s = np.zeros(starts)
-            for o in ORDERS:
+            for o, g in gaps:
                 if width >= o:
-                    g = gap[o]
                     s += g[a + width - o + 1 : a + width - o + 1 + starts] - g[a : a + starts]
             low, top = (sum(float(self.weights[b]) for b in page_features(n, t)) for t in (False, True))
             s[0] += top - low
@@ -156,22 +212,23 @@ class Model:
         return score, where, c, off
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, rounds: int = 120, penalty: float = PENALTY) -> Model:
+def train(features: list[np.ndarray], labels: np.ndarray, rounds: int = 80, penalty: float = PENALTY) -> Model:
     """Logistic regression with an L2 penalty, full-batch Adam; classes weigh the same."""
     size = 1 << BITS
     w, bias = np.zeros(size), 0.0
     if not len(labels) or labels.min() == labels.max():
         return Model(w, -10.0 if not len(labels) or not labels.max() else 0.0)
     flat = np.concatenate(features)
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    sizes = np.array([len(f) for f in features])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     weight = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=w[flat], minlength=len(features)) + bias
+        z = np.add.reduceat(w.astype(np.float32)[flat], begin, dtype=np.float64) + bias
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
-        g = np.bincount(flat, weights=err[row], minlength=size) + penalty * w
+        g = np.bincount(flat, weights=np.repeat(err, sizes), minlength=size) + penalty * w
         gb = err.sum()
-        rate = 0.08 * min(1.0, 3 * (1 - t / (rounds + 1)))
+        rate = 0.16 * min(1.0, 3 * (1 - t / (rounds + 1)))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -191,57 +248,140 @@ def _fold_table() -> dict[int, str]:
     return table
 
 
+def _fold(text: str) -> str:
+    return text.translate(_fold_table())
+
+
 @lru_cache
-def _folded_phrases() -> tuple[str, ...]:
-    return tuple(p.translate(_fold_table()) for p in PHRASES)
-
-
-def weak_spans(text: str) -> list[tuple[int, int]]:
-    """Where a phrase or mark of residue stands in a folded stream (lower case, digits 9)."""
-    found = []
-    folded = text.translate(_fold_table())
-    for phrases, where in ((_folded_phrases(), folded), (MARKS, text)):
-        for p in phrases:
-            i = where.find(p.replace("1234567890", "9999999999"))
-            while i >= 0:
-                found.append((i, i + len(p)))
-                i = where.find(p, i + len(p))
-    at, run = 0, []
-    if "lor" in text or "ips" in text or "amet" in text or "elit" in text or "veniam" in text or "magna" in text:
-        for word in [*text.split(" "), ""]:
-            if word.strip(".,;") in FILLER:
-                run.append((at, at + len(word)))
-            else:
-                if len(run) >= 4:
-                    found.append((run[0][0], run[-1][1]))
-                run = []
-            at += len(word) + 1
+def _kinds() -> tuple[dict[str, frozenset[str]], dict[str, frozenset[str]]]:
+    """Kinds by word as it is and, from six letters on, by word with confusable letters folded."""
+    out: tuple[dict[str, set[str]], dict[str, set[str]]] = {}, {}
+    for kind, names in KINDS.items():
+        for w in names.split():
+            out[0].setdefault(w, set()).add(kind)
+            if len(w) >= 6:
+                out[1].setdefault(_fold(w), set()).add(kind)
+    return tuple({w: frozenset(k) for w, k in d.items()} for d in out)
+
+
+@lru_cache
+def _syntax(skip: frozenset[str]) -> tuple[tuple[str, re.Pattern], ...]:
+    return tuple((need, re.compile(p)) for n, (need, p) in SYNTAX.items() if n not in skip)
+
+
+@lru_cache
+def _machinery() -> frozenset[str]:
+    return frozenset(map(_fold, MACHINERY))
+
+
+_EDGE = ".,;:!?\"'“”„«»()"
+
+
+class PageWords:
+    """Words of a folded stream without marks around them; places are worked out when asked for."""
+
+    def __init__(self, text: str):
+        self.raw = text.split(" ")
+        self.plain = [w.strip(_EDGE) for w in self.raw]
+        self.folded = [w.strip(_EDGE) for w in _fold(text).split(" ")]  # letter for letter, so words are the same
+        self._at: list[int] = []
+
+    def place(self, first: int, last: int) -> tuple[int, int]:
+        """From the begin of a word to the end of another."""
+        if not self._at:
+            self._at = [0, *itertools.accumulate(len(w) + 1 for w in self.raw)]
+        a = self._at[first] + (self.raw[first].index(self.plain[first]) if self.plain[first] else 0)
+        return a, self._at[last] + len(self.raw[last].rstrip(_EDGE))
+
+
+def phrases_of(words: PageWords) -> list[tuple[int, int, int]]:
+    """(hash, first word, last word) of every run of PHRASE words; of all words where there are fewer."""
+    w = [k for k, x in enumerate(words.folded) if x]
+    n = min(PHRASE, len(w))
+    return [(zlib.crc32(" ".join([words.folded[j] for j in w[k : k + n]]).encode()), w[k], w[k + n - 1]) for k in range(len(w) - n + 1)] if n else []
+
+
+def _known_phrases(words: PageWords, known: frozenset[int]) -> list[tuple[int, int]]:
+    return [words.place(a, z) for h, a, z in phrases_of(words) if h in known]
+
+
+def weak_spans(text: str, known: frozenset[int] = frozenset(), skip: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """Where a rule, or a phrase learned from short pages, finds residue in a folded stream
+    (lower case, digits 9). ``skip`` names rules that are left out."""
+    found = [m.span() for need, p in _syntax(skip) if need in text for m in p.finditer(text)]
+    words = PageWords(text)
+    plain, folded = _kinds()
+    hits = [(k, plain.get(w) or folded[f]) for k, (w, f) in enumerate(zip(words.plain, words.folded, strict=True)) if w in plain or f in folded]
+    for start, (k, mine) in enumerate(hits):
+        for kind in mine:
+            for wanted, gap, name in _rules().get(kind, ()):
+                last, at = k, start
+                for more in wanted[1:]:
+                    at = next((j for j in range(at + 1, min(len(hits), at + gap + 2)) if hits[j][0] - last <= gap + 1 and more in hits[j][1]), -1)
+                    if at < 0:
+                        break
+                    last = hits[at][0]
+                if at >= 0 and name not in skip:
+                    found.append(words.place(k, last))
+    if "lorem" not in skip and len(FILLER.intersection(words.plain)) >= 3:
+        found += [words.place(a, z) for a, z in _runs(w in FILLER for w in words.plain) if z - a >= 3]
+    if "repeat" not in skip:
+        same = [k for k, (a, b) in enumerate(zip(words.plain, words.plain[1:], strict=False)) if a == b and a.isalpha()]
+        found += [words.place(same[a], same[z + 1] + 1) for a, z in _runs(b - a == 1 for a, b in zip(same, same[1:], strict=False)) if z - a >= 1] if len(same) >= 3 else []
+    if len(text) <= SHORT and "short" not in skip and len(_machinery().intersection(words.folded)) >= 2:
+        found.append((0, len(text)))
+    if known:
+        found += _known_phrases(words, known)
     return sorted(found)
 
 
+def _runs(flags) -> list[tuple[int, int]]:
+    """First and last index of each stretch of true values."""
+    out, k = [], 0
+    for yes, part in itertools.groupby(flags):
+        n = sum(1 for _ in part)
+        if yes:
+            out.append((k, k + n - 1))
+        k += n
+    return out
+
+
+@lru_cache
+def _rules() -> dict[str, list[tuple[tuple[str, ...], int, str]]]:
+    out: dict[str, list[tuple[tuple[str, ...], int, str]]] = {}
+    for wanted, gap in RULES:
+        out.setdefault(wanted[0], []).append((wanted, gap, " ".join(wanted)))
+    return out
+
+
 def _unit(text: str) -> str:
     c, _ = stream([text])
     return c.astype(np.uint32).tobytes().decode("utf-32-le", "replace")
 
 
-def labelled_windows(text: str, rng: np.random.Generator) -> list[tuple[int, int, int]]:
-    """(label, start, length of the page) of training windows of one folded page."""
+def labelled_windows(text: str, rng: np.random.Generator, known: frozenset[int] = frozenset(), skip: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
+    """(label, start, length of the page) of training windows of one folded page, at most
+    PAGE_WINDOWS. A short page with residue is residue as a whole."""
     n = len(text)
     if not n:
         return []
-    spans = weak_spans(text)
+    spans = weak_spans(text, known, skip)
     last = max(0, n - WINDOW)
     if not spans:
         return [(0, int(x), n) for x in rng.integers(0, last + 1, NEGATIVES)]
-    out = []
+    if n <= SHORT:
+        spans = [(0, n)]
+    starts: set[int] = set()
     for a, b in spans:
-        size = b - a
-        if size >= WINDOW:
-            out += [(1, min(last, int(x)), n) for x in np.linspace(a, b - WINDOW, min(6, 2 + (size - WINDOW) // 20)).astype(int)]
+        if b - a >= WINDOW:
+            starts |= {min(last, int(x)) for x in np.linspace(a, b - WINDOW, min(6, 2 + (b - a - WINDOW) // 20))}
         else:
             lo, hi = max(0, b - WINDOW), min(a, last)
-            out += [(1, int(x), n) for x in {min(lo, hi), hi, (lo + hi) // 2} if 0 <= x <= last]
-    return out
+            starts |= {x for x in (min(lo, hi), hi, (lo + hi) // 2) if 0 <= x <= last}
+    take = sorted(starts)
+    if len(take) > PAGE_WINDOWS:
+        take = [take[i] for i in np.linspace(0, len(take) - 1, PAGE_WINDOWS).astype(int)]
+    return [(1, x, n) for x in take]
 
 
 # --- Spark side --------------------------------------------------------------------------
@@ -253,9 +393,51 @@ def _source(df: DataFrame, id_col: str, text_col: str, boxes_col: str | None, ho
     return df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), boxes.alias("boxes"), host.alias("host"))
 
 
-def _sample(src: DataFrame, rows: int) -> DataFrame:
-    share = min(1.0, LABEL_PAGES / max(rows, 1))
-    return src.filter(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+def _share(rows: int, most: int) -> Column:
+    """Rows drawn by hash so that about ``most`` of ``rows`` remain."""
+    return F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) < F.lit(int(min(1.0, most / max(rows, 1)) * (1 << 30)))
+
+
+def _label_sample(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages to label, short pages to learn phrases from and pages to check these in, all bounded
+    and written once."""
+    size = F.length("text")
+    n, short = src.agg(F.count(F.lit(1)), F.count(F.when(size <= 2 * SHORT, 1))).first()
+    pages, brief = _share(n, LABEL_PAGES), (size <= 2 * SHORT) & _share(short, SHORT_PAGES)
+    drawn = cut(src.filter(pages | brief).withColumns({"in_pages": pages, "in_short": brief, "in_check": _share(n, min(ORDINARY_PAGES, LABEL_PAGES))}))
+    return tuple(drawn.filter(c).select(*src.columns) for c in ("in_pages", "in_short", "in_check"))
+
+
+def learned_phrases(short: DataFrame, pages: DataFrame, skip: frozenset[str] = frozenset()) -> frozenset[int]:
+    """Phrases that stand in two or more short pages which the rules take for residue and in
+    hardly any page of ``pages`` that they do not."""
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got: list[int] = []
+            for text in page_texts(b.column(1), b.column(2)):
+                unit = _unit(text)
+                if 0 < len(unit) <= SHORT and weak_spans(unit, skip=skip):
+                    got += {h for h, _, _ in phrases_of(PageWords(unit))}
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["phrase"])
+
+    held = short.mapInArrow(teach, "phrase long").groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    learned = frozenset(r.phrase for r in held.select("phrase").toLocalIterator())  # at most SHORT_PAGES times the words of a short page
+    if not learned:
+        return learned
+
+    def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got: list[int] = []
+            for text in page_texts(b.column(1), b.column(2)):
+                unit = _unit(text)
+                here = {h for h, _, _ in phrases_of(PageWords(unit))} & learned if len(unit) > SHORT else ()
+                if here and not weak_spans(unit, skip=skip):
+                    got += here
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["phrase"])
+
+    common = pages.mapInArrow(ordinary, "phrase long").groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ORDINARY_HITS)
+    return learned - {r.phrase for r in common.select("phrase").toLocalIterator()}
 
 
 _WINDOWS = "label int, host string, length int, top boolean, piece string"
@@ -265,15 +447,22 @@ def _piece(text: str, start: int) -> str:
     return text[start : start + WINDOW]
 
 
-def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for i, text, host in zip(b.column(0).to_pylist(), page_texts(b.column(1), b.column(2)), b.column(3).to_pylist(), strict=True):
-            unit = _unit(text)
-            for label, start, n in labelled_windows(unit, np.random.default_rng([SEED, i & 0x7FFFFFFF])):
-                rows.append((label, host, n, start == 0, _piece(unit, start)))
-        if rows:
-            yield _windows(rows)
+def _labeller(known: frozenset[int], skip: frozenset[str]):
+    """Training windows: label 1 residue, 0 ordinary; 2 what only the rules left out find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, text, host in zip(b.column(0).to_pylist(), page_texts(b.column(1), b.column(2)), b.column(3).to_pylist(), strict=True):
+                unit = _unit(text)
+                got = labelled_windows(unit, np.random.default_rng([SEED, i & 0x7FFFFFFF]), known, skip)
+                if skip and got and not got[0][0]:
+                    got = [(2, x, n) for y, x, n in labelled_windows(unit, np.random.default_rng(SEED)) if y] or got
+                rows += [(label, host, n, start == 0, _piece(unit, start)) for label, start, n in got]
+            if rows:
+                yield _windows(rows)
+
+    return run
 
 
 def _windows(rows) -> pa.RecordBatch:
@@ -285,22 +474,28 @@ def _vectors(pdf) -> list[np.ndarray]:
     return [window_features(np.frombuffer(p.encode("utf-32-le"), np.uint32), int(n), bool(t)) for p, n, t in zip(pdf["piece"], pdf["length"], pdf["top"], strict=True)]
 
 
-def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", boxes_col: str | None = "line_boxes", host_col: str | None = "paper_id") -> tuple[Model, dict[str, float]]:
-    """The classifier and its figures on windows of hosts it has not seen."""
-    import zlib
+def _unseen(hosts) -> np.ndarray:
+    """Windows of every fifth host, by hash, are kept for validation."""
+    return np.array([zlib.crc32(h.encode()) % 5 == 0 for h in hosts], bool)
+
 
+def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", boxes_col: str | None = "line_boxes", host_col: str | None = "paper_id", skip: frozenset[str] = frozenset(), validate: bool = True) -> tuple[Model, dict[str, float]]:
+    """The classifier and, with ``validate``, its figures on windows of hosts it has not seen
+    (every fifth by hash; without it the model learns from all hosts): precision and recall
+    against the weak labels and, if rules are left out by ``skip``, the recall of windows in
+    pages that only those rules find (in training they counted as ordinary)."""
     spark = df.sparkSession
-    src = _source(df, id_col, text_col, boxes_col, host_col)
-    sample = _sample(src, df.count())
-    first = sample.mapInArrow(_label_batches, _WINDOWS).toPandas()
-    held = first["host"].map(lambda h: zlib.crc32(h.encode()) % 5 == 0).to_numpy(bool)
-    vectors, labels = _vectors(first), first["label"].to_numpy(float)
+    sample, short, check = _label_sample(_source(df, id_col, text_col, boxes_col, host_col))
+    known = learned_phrases(short, check, skip)
+    first = sample.mapInArrow(_labeller(known, skip), _WINDOWS).toPandas()  # LABEL_PAGES pages, PAGE_WINDOWS windows each
+    held, vectors, labels = _unseen(first["host"]) & validate, _vectors(first), first["label"].to_numpy(float)
+    hidden = labels == 2
     pick = lambda keep: ([v for v, k in zip(vectors, keep, strict=True) if k], labels[keep])
-    model = train(*pick(~held))
-    if labels.max(initial=0) > 0:
+    model = train(*pick(~held & ~hidden))
+    for _ in range(MINED if (labels == 1).any() else 0):
         shared = spark.sparkContext.broadcast(model)
 
-        def hardest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def hardest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = shared.value
             for b in batches:
                 texts, hosts = page_texts(b.column(1), b.column(2)), b.column(3).to_pylist()
@@ -309,22 +504,26 @@ def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", box
                     score, where, c, off = m.best_windows(texts[lo:hi])
                     for k in np.flatnonzero(score > -2.0):
                         unit = c[off[k] : off[k + 1]].astype(np.uint32).tobytes().decode("utf-32-le", "replace")
-                        if not weak_spans(unit):
+                        if not weak_spans(unit, known, skip):
                             at = int(where[k] - off[k])
                             rows.append((0, hosts[lo + k], len(unit), at == 0, _piece(unit, at)))
                 if rows:
                     yield _windows(rows)
 
-        hard = sample.mapInArrow(hardest, _WINDOWS).toPandas()
-        seen = hard["host"].map(lambda h: zlib.crc32(h.encode()) % 5 != 0).to_numpy(bool) if len(hard) else np.zeros(0, bool)
+        hard = sample.mapInArrow(hardest, _WINDOWS).toPandas()  # one window a page
+        if not len(hard):
+            break
         vectors += _vectors(hard)
         labels = np.concatenate([labels, np.zeros(len(hard))])
-        held = np.concatenate([held, ~seen])
-        model = train(*pick(~held))
+        held, hidden = np.concatenate([held, _unseen(hard["host"]) & validate]), np.concatenate([hidden, np.zeros(len(hard), bool)])
+        model = train(*pick(~held & ~hidden))
     v, y = pick(held)
-    z = np.array([model.weights[f].sum() + model.bias for f in v]) if len(v) else np.zeros(0)
-    hit = z >= THRESHOLD
-    figures = {"train_windows": float((~held).sum()), "held_windows": float(held.sum()), "held_positive": float(y.sum()), "precision": float((hit & (y > 0)).sum() / max(hit.sum(), 1)), "recall": float((hit & (y > 0)).sum() / max(y.sum(), 1))}
+    hit = np.array([model.weights[f].sum() + model.bias for f in v]) >= THRESHOLD if len(v) else np.zeros(0, bool)
+    share = lambda part, whole: float(part.sum() / whole.sum()) if whole.any() else 1.0
+    figures = {
+        "train_windows": float((~held).sum()), "held_windows": float(held.sum()), "held_positive": float((y == 1).sum()), "held_unlisted": float((y == 2).sum()),
+        "precision": share(hit & (y > 0), hit), "recall": share(hit & (y == 1), y == 1), "recall_unlisted": share(hit & (y == 2), y == 2),
+    }
     return model, figures
 
 
@@ -349,7 +548,7 @@ def score_pages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
 def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", boxes_col: str | None = "line_boxes", host_col: str | None = "paper_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per page that holds residue: id, score, excerpt (folded)."""
-    model, _ = fit_model(df, id_col, text_col, boxes_col, host_col)
+    model, _ = fit_model(df, id_col, text_col, boxes_col, host_col, validate=False)
     return score_pages(df, model, id_col, text_col, boxes_col, threshold).groupBy("id").agg(F.max(F.struct("score", "excerpt")).alias("m")).select("id", "m.score", "m.excerpt")
 
 

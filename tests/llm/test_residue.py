@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pagemill.llm.residue import ORDERS, WINDOW, Model, find_residue, fit_model, page_features, stream, train, weak_spans, window_features, without_residue
+from pagemill.llm.residue import ORDERS, PAGE_WINDOWS, WINDOW, Model, find_residue, fit_model, labelled_windows, learned_phrases, page_features, stream, train, weak_spans, window_features, without_residue
 
 WORDS = "the baker closed market town river of bridge and council was sold to widow by harbour near school library again in haste every old new page found book".split()
 RESIDUE = ["{{headline}}", "This page needs JavaScript to be enabled in your browser.", "502 Bad Gateway. Internal server error. Trace id 4f92", "Lorem ipsum dolor sit amet consectetur adipiscing elit veniam", "Body copy goes here, further copy goes here.", "Seite nicht gefunden. Bitte prüfen Sie die Adresse."]
@@ -13,7 +14,9 @@ DDL = f"doc_id long, text string, line_boxes {BOXES}, paper_id string, score str
 
 
 def article(rng, n=60):
-    w = [rng.choice(WORDS) for _ in range(n)]
+    w = [rng.choice(WORDS)]
+    while len(w) < n:
+        w.append(rng.choice([x for x in WORDS if x != w[-1]]))
     return "\n".join(" ".join(w[i : i + 6]) for i in range(0, n, 6))
 
 
@@ -72,4 +75,32 @@ def test_training_separates_and_penalty_shrinks():
 
 def test_weak_labels_read_through_damage():
     assert weak_spans("this poge needs javascrlpt to bc enabled") and not weak_spans("the page was not found in the parish book") and len(page_features(10, True)) == 3
-    assert weak_spans("lorem ipsum dolor sit") == [(0, 11), (0, 21)] and not weak_spans("et dolore in town")
+    assert weak_spans("lorem ipsum dolor sit") == [(0, 21)] and not weak_spans("et dolore in town, neither he nor his")
+    for text in ("error 999: gone", "please allow scripts and reload", "[user.name] said", "titel einfügen", "@@by_line@@", "tk tk", "foo foo foo foo", "your session is over"):
+        assert weak_spans(text), text
+    for text in ("an error of 999 pounds was found", "the script of the new play is required", "a filler of sand and the template", "write your name below the line", "who came to be read here"):
+        assert not weak_spans(text), text
+
+
+def test_windows_of_a_page_are_bounded():
+    got = labelled_windows("{{a}} " * 20_000, np.random.default_rng(0))
+    assert len(got) == PAGE_WINDOWS and all(y == 1 for y, _, _ in got)
+    assert labelled_windows("no connection. log in", np.random.default_rng(0), skip=frozenset(["short"]))[0][0] == 0
+
+
+def test_short_pages_teach_phrases(spark):
+    ddl = "id long, text string, boxes array<struct<x0:int>>, host string"
+    short = spark.createDataFrame([(i, f"Fatal fehler: the quiet mill lost its way in the year {i} server", None, f"h{i}") for i in range(4)], ddl)
+    pages = spark.createDataFrame([(i, "it came to pass lost its way in the year of grace " + article(random.Random(i)), None, "h") for i in range(9)], ddl)
+    known = learned_phrases(short, pages)
+    a, b = ("the baker came home and " * 20 + x + " again the baker came home" for x in ("the quiet mill lost", "its way in the year"))
+    assert weak_spans(a, known) and not weak_spans(a) and not weak_spans(b, known)
+
+
+def test_rules_left_out_are_measured(spark):
+    rng = random.Random(9)
+    marks = ["{{headline}}", "${headline}", "[[headline]]", "<%= headline %>", "#{headline}", "{% headline %}"]
+    rows = [(i, f"{article(rng, 30)}\n{marks[i % 6]}\n{article(rng, 30)}" if i % 5 == 0 else article(rng), None, f"np-{i % 23}", "") for i in range(1500)]
+    figures = fit_model(spark.createDataFrame(rows, DDL), skip=frozenset(["braces", "hash", "bracketed slot"]))[1]
+    assert figures["held_unlisted"] > 20 and 0 <= figures["recall_unlisted"] <= 1 and figures["recall"] > 0.9
+    assert fit_model(spark.createDataFrame(rows, DDL))[1]["held_unlisted"] == 0
