@@ -50,10 +50,11 @@ ORDERS = (3, 5)
 SHAPE_ORDER = 4
 BITS = 18
 LABEL_PAGES = 40_000
-NEGATIVES = 4
+NEGATIVES = 3
 #: rounds that add the ordinary windows taken for residue
 MINED = 1
 SEED = 11
+BLOCK = 20_000
 PENALTY = 2e-6
 #: log odds from which a window counts as residue
 THRESHOLD = 2.5
@@ -63,7 +64,7 @@ SHORT = 200
 #: words of a learned phrase, windows a labelled page gives
 PHRASE, PAGE_WINDOWS = 4, 16
 #: short pages phrases are learned from; ordinary pages they are checked in, and how many of these may hold one
-SHORT_PAGES, ORDINARY_PAGES, ORDINARY_HITS = 20_000, 5_000, 1
+SHORT_PAGES, ORDINARY_PAGES, ORDINARY_HITS = 20_000, 5_000, 2
 
 # Weak labels are rules, not a list of texts: kinds of words that stand side by side (or up to
 # ``gap`` words apart) where a page speaks of its own machinery instead of the news.
@@ -78,7 +79,7 @@ KINDS = {
     "reason": "forbidden gone unauthorized conflict",
     "page": "page file document issue seite datei dokument ausgabe", "not": "not nicht", "found": "found gefunden", "bad": "bad", "gateway": "gateway", "request": "request requests", "internal": "internal interner", "server": "server serveur", "service": "service",
     "unavailable": "unavailable indisponible", "timeout": "timeout time-out timed", "too": "too", "many": "many", "load": "connection loading request requête",
-    "session": "session sitzung", "sign": "sign log", "in": "in", "again": "again",
+    "something": "something", "went": "went", "wrong": "wrong", "reload": "reload", "session": "session sitzung", "sign": "sign log", "in": "in", "again": "again",
     "mock": "dummy sample placeholder mock nonsense filler test", "copy": "text copy words paragraph", "filler": "blindtext fülltext platzhalter", "texte": "texte", "de": "de", "remplissage": "remplissage",
     "slot": "slug ort lieu place copy text caption headline picture photo title name date byline story advert subhead titel datum bild titre nom texte légende", "to": "to", "come": "come follow", "goes": "goes comes", "here": "here", "insert": "insert your enter type", "tbd": "tbd tbc tk slug",
     "fill": "einfügen ergänzen", "job": "job task worker thread", "fail": "failed lost aborted crashed", "on": "on at by for", "à": "à", "complete": "compléter insérer", "ici": "ici hier", "later": "viendra später", "of": "of", "person": "editor author reporter photographer writer",
@@ -90,7 +91,7 @@ RULES = (
     (("javascript",), 0), (("scripts", "switch"), 4), (("switch", "scripts"), 4),
     (("browser",), 0),
     (("error", "number"), 0), (("number", "not", "found"), 0), (("page", "not", "found"), 0), (("number", "reason"), 0), (("bad", "gateway"), 0), (("number", "bad", "request"), 0), (("server", "error"), 0), (("service", "unavailable"), 0), (("gateway", "timeout"), 0), (("too", "many", "request"), 0), (("load", "timeout"), 1),
-    (("your", "session"), 0), (("sign", "in", "again"), 0),
+    (("something", "went", "wrong"), 0), (("reload",), 0), (("your", "session"), 0), (("sign", "in", "again"), 0),
     (("mock", "copy"), 0), (("filler",), 0), (("texte", "de", "remplissage"), 0),
     (("slot", "to", "come"), 0), (("slot", "goes", "here"), 0), (("insert", "slot", "here"), 0), (("slot", "tbd"), 0), (("tbd", "tbd"), 0), (("slot", "fill"), 0), (("job", "fail"), 2), (("slot", "à", "complete"), 0), (("ici", "later"), 2), (("slot", "of", "person"), 0),
     (("keys", "keys"), 1), (("bla", "bla"), 0),
@@ -218,15 +219,19 @@ def train(features: list[np.ndarray], labels: np.ndarray, rounds: int = 80, pena
     w, bias = np.zeros(size), 0.0
     if not len(labels) or labels.min() == labels.max():
         return Model(w, -10.0 if not len(labels) or not labels.max() else 0.0)
-    flat = np.concatenate(features)
-    sizes = np.array([len(f) for f in features])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    parts = []  # blocks of windows: memory of a step does not grow with the training set
+    for k in range(0, len(features), BLOCK):
+        sizes = np.array([len(f) for f in features[k : k + BLOCK]])
+        parts.append((np.concatenate(features[k : k + BLOCK]), sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])))
     weight = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.add.reduceat(w.astype(np.float32)[flat], begin, dtype=np.float64) + bias
+        near = w.astype(np.float32)
+        z = np.concatenate([np.add.reduceat(near[flat], begin, dtype=np.float64) for flat, _, begin in parts]) + bias
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
-        g = np.bincount(flat, weights=np.repeat(err, sizes), minlength=size) + penalty * w
+        g = penalty * w
+        for k, (flat, sizes, _) in enumerate(parts):
+            g += np.bincount(flat, weights=np.repeat(err[k * BLOCK : (k + 1) * BLOCK], sizes), minlength=size)
         gb = err.sum()
         rate = 0.16 * min(1.0, 3 * (1 - t / (rounds + 1)))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
