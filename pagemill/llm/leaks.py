@@ -5,8 +5,14 @@ others; the hashes of the evaluation items and of the pages are joined; around t
 overlap is verified with tolerance for misread letters, broken words and inserted lines.
 
 A page is a hit of an item if it holds ``min_words`` (20) or more consecutive words of it. The
-verified run may be broken between lines by lines of something else (another column, an
-advert); within a line every word must be there, read as written or with misread letters.
+verified run may be broken between lines by any number of lines of something else (another
+column, an advert); within a line every word must be there, read as written or with misread
+letters. Verification goes over the whole page.
+
+Which pairs are verified: those whose stretches (words alike side by side, grown from seeds)
+follow each other in the item and between lines of the page and sum up to ``ENOUGH`` words, or
+one of which has ``LONGEST``. A run of 20 is lost only if misreadings beyond likeness leave
+less than that of it.
 
 Seeds: of each distinct item text all windows of all masks. Seeds that stand in many items are
 set phrases; they are left out only where every run of ``min_words`` words keeps at least
@@ -44,13 +50,13 @@ SEEDS_A_RUN = 40
 COMMON = 3
 BLOCK_WORDS = 200_000
 BITS = 22
-#: lines that may stand between the parts of a run
-GAP_LINES = 14
-#: words a stretch must have to count; a pair is verified from one stretch of LONGEST words on,
-#: or ENOUGH words in stretches that follow each other. A run of 20 in two parts has one of 10.
-PART, LONGEST, ENOUGH = 5, 10, 14
+#: words a stretch must have to count (a seed's least); a pair is verified from one stretch of
+#: LONGEST words on, or from ENOUGH words in stretches that follow each other
+PART, LONGEST, ENOUGH = 4, 10, 14
 #: words of a run on one diagonal that may look unlike wherever they stand
 ODD = 3
+#: item words between stretches that may be misread beyond likeness
+MISSED = 6
 
 
 def seed_hashes(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
@@ -149,20 +155,23 @@ def _soft(h1, h2, b1, b2, l1, l2) -> np.ndarray:
 WINDOW, LEAD = 96, 32
 
 
-def _chained(parts: dict[tuple[int, int], int]) -> int:
-    """Most words in stretches that follow each other in the item, with lines between on the page."""
-    best: list[tuple[int, int, int]] = []  # diagonal, last item word, words so far
+def _chained(parts: dict[tuple[int, int], int], head: np.ndarray, tail: np.ndarray) -> int:
+    """Most words in stretches that follow each other in the item and on the page. Whatever
+    stands between them there, it stands between lines: a stretch that does not go on beside the
+    one before ends near a line end, and its successor begins near a line start."""
+    best: list[tuple[int, int, int, bool]] = []  # diagonal, last item word, words so far, at a line end
     top = 0
     for (d, last), n in sorted(parts.items(), key=lambda x: x[0][1]):
         first = last - n + 1
-        so_far = n + max((t for e, q, t in best if -2 <= first - q - 1 <= 4 and -3 <= d - e <= 10 * GAP_LINES), default=0)
-        best.append((d, last, so_far))
+        begins, ends = head[first + d] <= ODD, tail[last + d] <= ODD
+        so_far = n + max((t - max(0, q - first + 1) for e, q, t, ended in best if -2 <= first - q - 1 <= MISSED and (-3 <= d - e <= 3 or (d > e and ended and begins))), default=0)
+        best.append((d, last, so_far, ends))
         top = max(top, so_far)
     return top
 
 
-def candidates(w: Words, index: ItemIndex, page, item, at, pos) -> list[tuple[int, int, int, int]]:
-    """(page, item, first and last word of the page) worth verifying.
+def candidates(w: Words, index: ItemIndex, page, item, at, pos) -> list[tuple[int, int]]:
+    """(page, item) worth verifying.
 
     Hits on one diagonal are one stretch: item and page words go side by side. A stretch counts
     as far as words stay alike on both sides of its hits. Words misread too badly to look alike
@@ -176,7 +185,12 @@ def candidates(w: Words, index: ItemIndex, page, item, at, pos) -> list[tuple[in
     new = np.concatenate([[True], (page[1:] != page[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (block[1:] != block[:-1])])
     page, item, diagonal, block = page[new], item[new], diagonal[new], block[new]
     bags, lengths = w.bags(), (w.end - w.start).astype(np.int32)
-    total: dict[tuple[int, int], list] = {}
+    # words before and after each word in its line
+    begin = np.concatenate([[0], np.flatnonzero(w.first[1:] > w.first[:-1]) + 1])
+    size = np.diff(np.concatenate([begin, [len(w.first)]]))
+    head = np.arange(len(w.first)) - np.repeat(begin, size)
+    tail = np.repeat(size, size) - 1 - head
+    total: dict[tuple[int, int], dict[tuple[int, int], int]] = {}
     dense: set[tuple[int, int]] = set()
     for c in range(0, len(page), 20_000):
         p, i, d = page[c : c + 20_000, None], item[c : c + 20_000, None], diagonal[c : c + 20_000, None]
@@ -190,22 +204,16 @@ def candidates(w: Words, index: ItemIndex, page, item, at, pos) -> list[tuple[in
         run = step - np.maximum.accumulate(np.where(ok, 0, step), axis=1)
         ends = run >= PART
         ends[:, :-1] &= run[:, 1:] == 0
-        for g, z in zip(*np.nonzero(ends), strict=True):
-            n, e = int(run[g, z]), int(a[g, z])
-            have = total.setdefault((int(p[g, 0]), int(i[g, 0])), [{}, e, e])
-            stretch = (int(d[g, 0]), int(q[g, z]))
-            have[0][stretch] = max(have[0].get(stretch, 0), n)
-            have[1], have[2] = min(have[1], e - n + 1), max(have[2], e)
+        g, z = np.nonzero(ends)
+        for pg, it, dd, qq, n in zip(p[g, 0].tolist(), i[g, 0].tolist(), d[g, 0].tolist(), q[g, z].tolist(), run[g, z].tolist(), strict=True):
+            have = total.setdefault((pg, it), {})
+            have[dd, qq] = max(have.get((dd, qq), 0), n)
         # all words but ODD alike among as many as a run needs, however the others part them
         sums = np.cumsum(np.pad(ok, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
         held = sums[:, index.min_words :] - sums[:, : -index.min_words]
-        for g in np.flatnonzero(held.max(axis=1, initial=0) >= index.min_words - ODD):
-            key = (int(p[g, 0]), int(i[g, 0]))
-            at = a[g, ok[g]]
-            have = total.setdefault(key, [{}, int(at[0]), int(at[-1])])
-            have[1], have[2] = min(have[1], int(at[0])), max(have[2], int(at[-1]))
-            dense.add(key)
-    return [(*k, low, high) for k, (parts, low, high) in total.items() if k in dense or max(parts.values()) >= LONGEST or _chained(parts) >= ENOUGH]
+        g = np.flatnonzero(held.max(axis=1, initial=0) >= index.min_words - ODD)
+        dense.update(zip(p[g, 0].tolist(), i[g, 0].tolist(), strict=True))
+    return list(dense | {k for k, parts in total.items() if k not in dense and (max(parts.values()) >= LONGEST or (sum(parts.values()) >= ENOUGH and _chained(parts, head, tail) >= ENOUGH))})
 
 
 _GROUPS = (("rn", "m"), ("nn", "m"), ("ni", "m"), ("cl", "d"), ("vv", "w"), ("ii", "n"), ("li", "h"))
@@ -240,20 +248,33 @@ def same_word(a: str, b: str) -> bool:
     if a == b:
         return True
     most = max(1, len(a) // 3)
-    return _distance(a, b, most) <= most or _distance(_folded(a), _folded(b), most) <= most
+    return _within(a, b, most) or _within(_folded(a), _folded(b), most)
+
+
+def _within(a: str, b: str, most: int) -> bool:
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:  # an edit changes two letters of the sets
+        return False
+    return a == b or _distance(a, b, most) <= most
+
+
+def _equal_twos(item: np.ndarray, page: np.ndarray) -> list[tuple[int, int]]:
+    """Places (item, page), in order, where two words in a row are equal."""
+    with np.errstate(over="ignore"):
+        two = [h[:-1] * np.uint64(_WEIGHTS[0]) + h[1:] * np.uint64(_WEIGHTS[1]) for h in (item, page)]
+    order = np.argsort(two[0], kind="stable")
+    lo, hi = (np.searchsorted(two[0][order], two[1], side) for side in ("left", "right"))
+    at = np.repeat(np.arange(len(two[1])), hi - lo)
+    i = order[np.repeat(lo, hi - lo) + np.arange(len(at)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)] if len(at) else at
+    return sorted(zip(i.tolist(), at.tolist(), strict=True))
 
 
 def longest_run(item: list[str], item_hashes: np.ndarray, page: list[str], page_hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> int:
     """Most consecutive words of the item that the page words hold in order."""
     n, m = len(item), len(page)
-    exact = item_hashes[:, None] == page_hashes[None, :]
     # parts: maximal stretches matched word by word, grown from two equal words
     seen: set[tuple[int, int]] = set()
     parts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}  # by start: (item, page) from and to of each step
-    two = exact.copy()
-    two[:-1, :-1] &= exact[1:, 1:]
-    two[-1, :] = two[:, -1] = False
-    for i, j in zip(*np.nonzero(two), strict=True):
+    for i, j in _equal_twos(item_hashes, page_hashes):
         if (i, j) in seen:
             continue
         a, b = int(i), int(j)
@@ -289,7 +310,7 @@ def longest_run(item: list[str], item_hashes: np.ndarray, page: list[str], page_
             if y and first[y] > last[y - 1] or y and first[y] > first[y - 1]:  # y begins a line
                 for back in (0, 1):  # 1: the word at the break is torn between the two parts
                     for y0, l0 in ends.get(x - back, ()):
-                        if y0 <= y and 0 < first[y] - last[y0 - 1] <= GAP_LINES and l0 + back > length and (not back or _torn(item[x - 1], page, y0, y)):
+                        if y0 <= y and first[y] > last[y0 - 1] and l0 + back > length and (not back or _torn(item[x - 1], page, y0, y)):
                             length = l0 + back
             length += x2 - x
             best = max(best, length)
@@ -312,14 +333,12 @@ def _torn(word: str, page: list[str], y0: int, b: int) -> bool:
 def find_in_batch(texts: list[str], index: ItemIndex) -> list[tuple[int, int, int]]:
     """(page, item, words) of all pairs that share at least ``min_words`` consecutive words."""
     w = Words(texts, alike=True)
-    out = []
-    # as far as a run of min_words can go in parts of two words with GAP_LINES between them
-    reach = index.min_words + index.min_words // 2 * GAP_LINES
-    for p, i, low, high in candidates(w, index, *hits(w, index)):
-        begin, end = w.offsets[p], w.offsets[p + 1]
-        a = begin + np.searchsorted(w.first[begin:end], w.first[low] - reach, "left")
-        b = begin + np.searchsorted(w.first[begin:end], w.first[high] + reach, "right")
-        n = longest_run(index.words[i], index.hashes[i], w.words(a, b), w.hashes[a:b], w.first[a:b], w.last[a:b])
+    out, page = [], -1
+    for p, i in sorted(candidates(w, index, *hits(w, index))):
+        a, b = w.offsets[p], w.offsets[p + 1]
+        if p != page:
+            page, words = p, w.words(a, b)
+        n = longest_run(index.words[i], index.hashes[i], words, w.hashes[a:b], w.first[a:b], w.last[a:b])
         if n >= index.min_words:
             out.append((p, i, n))
     return out

@@ -176,7 +176,11 @@ class Words:
         return "".join(map(chr, self.chars[self.start[k] : self.end[k]]))
 
     def words(self, a: int, b: int) -> list[str]:
-        return [self.word(k) for k in range(a, b)]
+        if b <= a:
+            return []
+        low = self.start[a]
+        text = self.chars[low : self.end[b - 1]].astype("<u4").tobytes().decode("utf-32-le", "replace")
+        return [text[x:y] for x, y in zip((self.start[a:b] - low).tolist(), (self.end[a:b] - low).tolist(), strict=True)]
 
 
 _cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}

@@ -107,9 +107,36 @@ def test_misread_words_split_a_run_and_it_is_found(spark):
 def test_long_inserts_do_not_end_a_run(spark):
     rng = random.Random(12)
     item = words(rng, 20)
-    inserts = [lines(words(rng, 36)), [" ".join(words(rng, 12)) for _ in range(13)], [" ".join(words(rng, 12)) for _ in range(16)]]
+    inserts = [lines(words(rng, 36)), *([" ".join(words(rng, 12)) for _ in range(k)] for k in (13, 14, 40, 200))]
     pages = [("\n".join(lines(words(rng, 40)) + lines(item[:16]) + x + [" ".join(item[16:])] + lines(words(rng, 40))), None) for x in inserts]
-    assert set(run(spark, pages, [(0, " ".join(item))])) == {(0, 0), (1, 0)}
+    assert set(run(spark, pages, [(0, " ".join(item))])) == {(k, 0) for k in range(5)}
+
+
+def test_alternating_columns_without_boxes(spark):
+    rng = random.Random(21)
+    item = words(rng, 24)
+    pages = []
+    for k in (4, 5, 6):
+        inner = [" ".join(item[a : a + k]) for a in range(0, 24, k)]
+        pages.append(("\n".join(x for line in [*lines(words(rng, 20)), *inner, *lines(words(rng, 20))] for x in (line, " ".join(words(rng, 4)))), None))
+    pages.append(("\n".join(x for a in range(0, 18, 6) for x in (" ".join(item[a : a + 6]), " ".join(words(rng, 5)))), None))  # 18 words only
+    assert set(run(spark, pages, [(0, " ".join(item))])) == {(k, 0) for k in range(3)}
+
+
+def test_thinned_seeds_find_what_all_seeds_find(spark, monkeypatch):
+    rng = random.Random(17)
+    phrases = [words(rng, 6) for _ in range(5)]  # set phrases: their seeds stand in all items
+    items = [[w for _ in range(6) for w in (*rng.choice(phrases), *words(rng, 3))] for _ in range(12)]
+    pages = []
+    for k in range(40):
+        it = items[k % 12]
+        s = rng.randint(0, len(it) - 22)
+        pages.append(("\n".join(damage(rng, x) for x in page(rng, it[s : s + 22])), None))
+    want = {(k, k % 12) for k in range(40)}
+    few = run(spark, pages, [(i, " ".join(t)) for i, t in enumerate(items)])
+    monkeypatch.setattr("pagemill.llm.leaks.COMMON", 10**9)
+    every = run(spark, pages, [(i, " ".join(t)) for i, t in enumerate(items)])
+    assert few == every and len(want & set(few)) >= 38
 
 
 def test_unusual_input(spark):
