@@ -5,23 +5,27 @@ each position of a grid field (``ARRAY<ARRAY<STRING>>``) whose values differ.
 
 How duplicates of a key are handled: identical rows of the two copies cancel by multiplicity;
 what is left of a key is paired so that the number of differing fields is least (minimum-cost
-assignment). With ``latest_by`` only the rows with the newest value of that column count, and
-re-delivered identical rows count once.
+assignment). With ``latest_by`` only the rows with the newest value of that column count; as one
+row a key is meant then, rows left without a partner are repeats and not reported.
 
 Defined results for unusual input:
 
 * null in a key: keys compare null-safe, so ``NULL`` is a key value of its own;
 * null in a field: equals only null; a null grid or a null grid row has no positions;
+* grids of different shape (null against filled, other numbers of rows or of cells in a row):
+  one ``<grid>_shape`` row with both shapes, beside the positions both hold;
 * null in ``latest_by``: older than any value; a key with nothing but nulls keeps all its rows;
-* ties in ``latest_by``: all tied rows stay; identical ones count once, others are paired;
+* ties in ``latest_by``: all tied rows stay, cancel and are paired;
 * an empty copy: every key of the other one is ``only_a`` / ``only_b``;
 * further columns, whatever their names: ignored; internal columns carry the prefix ``__``.
 
 Scale: two shuffles on (key, content) that combine on the map side. Keys with one leftover row
-a side never leave the JVM. Keys with at most ``small_group`` distinct leftovers a side go to
-an exact assignment in Arrow batches. Larger groups are paired by distributed ranks over
-signatures that agree on all fields but d, for d = 1, 2, ...: nothing is collected in one
-task, every row is kept; there the pairing is least by level, not proven least in total.
+a side never leave the JVM. Keys with at most ``small_group`` leftovers a side go to an exact
+assignment in Arrow batches. Of larger groups, which no task could hold, rows that agree on all
+fields but some are paired first by distributed ranks, fewest differing fields first (all sets
+of fields up to ``ALL_SETS`` fields, else all but one and then one, so the number of rounds is
+linear in the fields); the rest is assigned exactly in blocks of ``small_group`` rows. Every row
+is kept; the total there is not proven least (README has the measured gap).
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: number of fields up to which large groups try every set of agreeing fields
+ALL_SETS = 4
 KINDS = ("only_a", "only_b", "extra_a", "extra_b")
 
 
@@ -88,8 +94,8 @@ def _grid_cost(a, b) -> int:
     return bad
 
 
-def _pair_small(keys: list[str], fields: Sequence[str], grids: Sequence[str]):
-    """Exact assignment inside one key; rows carry their surplus on side a (+) or b (-)."""
+def _pair_small(fields: Sequence[str], grids: Sequence[str]):
+    """Exact assignment of the rows of one key, or of one block of it; rows carry their surplus on side a (+) or b (-)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
@@ -110,13 +116,6 @@ def _pair_small(keys: list[str], fields: Sequence[str], grids: Sequence[str]):
     return run
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
-
-
 def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
     """``__k``: 1, 2, ... within ``by`` without one task per group: local ranks in hash
     slices plus the running size of the earlier slices."""
@@ -132,29 +131,49 @@ def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
     return local.join(s, cond).withColumn("__k", F.col("__k") + F.col("__s___before")).drop(*s.columns, "__slice")
 
 
-def _pair_large(rows: DataFrame, key_hash: str, fields: list[str]) -> DataFrame:
-    """Pairs of row ids for groups too large for one task, by signatures that agree on all
-    fields but d. ``rows``: __row, __key, __n (surplus) and one hash column a field."""
-    spark = rows.sparkSession
-    unit = rows.withColumn("__u", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__n"))))
-    unit = unit.withColumn("__id", F.struct("__row", "__u"))
-    pairs = spark.createDataFrame([], "__a long, __b long")
-    for d in range(1, len(fields) + 1):
-        for kept in combinations(fields, len(fields) - d):
-            by = [key_hash, *kept]
-            a = _ranked(unit.filter("__n > 0"), by).select(*by, "__k", F.col("__id").alias("__ia"))
-            b = _ranked(unit.filter("__n < 0"), by).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col("__k").alias("__rk"), F.col("__id").alias("__ib"))
-            cond = F.col("__k") == F.col("__rk")
-            for c in by:
-                cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-            from pagemill.session import cut
-
-            met = cut(a.join(b, cond).select("__ia", "__ib"))
-            pairs = pairs.unionAll(met.select("__ia.__row", "__ib.__row").toDF("__a", "__b"))
-            gone = met.select(F.col("__ia").alias("__id")).unionAll(met.select(F.col("__ib").alias("__id")))
-            unit = unit.join(gone, "__id", "left_anti")
-    rest = unit.select(F.when(F.col("__n") > 0, F.col("__row")).alias("__a"), F.when(F.col("__n") < 0, F.col("__row")).alias("__b"))
-    return pairs.unionAll(rest)
+def _agreeing(fields: list[str]) -> list[tuple[str, ...]]:
+    """Sets of fields that paired rows of a large group agree on, largest sets first."""
+    if len(fields) <= ALL_SETS:
+        return [c for k in range(len(fields) - 1, 0, -1) for c in combinations(fields, k)]
+    return [*combinations(fields, len(fields) - 1), *combinations(fields, 1)]
+
+
+def _pair_large(rows: DataFrame, keys: list[str], hashes: list[str], assign, block: int) -> DataFrame:
+    """Pairs of row ids for groups too large for one task. ``rows``: __row, keys, content,
+    __n (surplus) and one hash column a field; ``assign`` pairs the rows of one block."""
+    from pagemill.session import cut
+
+    unit = rows.withColumn("__u", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__n")))).withColumn("__id", F.struct("__row", "__u"))
+    bare = unit.select("__id", "__row", "__n", *keys, *hashes)
+    pairs = rows.sparkSession.createDataFrame([], _PAIR)
+    for kept in _agreeing(hashes):
+        by = [*keys, *kept]
+        a = _ranked(bare.filter("__n > 0"), by).select(*by, "__k", F.col("__id").alias("__ia"))
+        b = _ranked(bare.filter("__n < 0"), by).select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col("__k").alias("__rk"), F.col("__id").alias("__ib"))
+        cond = F.col("__k") == F.col("__rk")
+        for c in by:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+        met = cut(a.join(b, cond).select("__ia", "__ib"))
+        pairs = pairs.unionAll(met.select("__ia.__row", "__ib.__row").toDF("__a", "__b"))
+        gone = met.select(F.col("__ia").alias("__id")).unionAll(met.select(F.col("__ib").alias("__id")))
+        bare = bare.join(gone, "__id", "left_anti")
+    side = _ranked(bare.withColumn("__side", F.signum("__n")), [*keys, "__side"]).select("__id", F.floor((F.col("__k") - 1) / block).alias("__block"))
+    rest = unit.join(side, "__id").withColumn("__n", F.signum("__n").cast("long")).drop("__id", "__u", *hashes)
+    return pairs.unionAll(rest.groupBy(*keys, "__block").applyInPandas(assign, _PAIR))
+
+
+_PAIR = "__a long, __b long"
+
+
+def _hashes(fields: Sequence[str], grids: Sequence[str]) -> dict[str, Column]:
+    """Hashes that nulls change (xxhash64 passes over them, inside arrays as well): one a field
+    and two a grid, of its even and its odd columns, so that grids apart in one cell agree in one."""
+    out = [F.when(F.col(f).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(f), F.lit(1))) for f in fields]
+    for g in grids:
+        for odd in (0, 1):
+            half = F.transform(F.col(g), lambda r, odd=odd: F.filter(r, lambda _, i: i % 2 == odd))
+            out.append(F.when(F.col(g).isNull(), F.lit(0)).otherwise(F.xxhash64(F.to_json(half), F.lit(1))))
+    return {f"__f{i}": c for i, c in enumerate(out)}
 
 
 def leftovers(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequence[str], grids: Sequence[str] = (), latest_by: str | None = None) -> DataFrame:
@@ -170,7 +189,7 @@ def leftovers(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequence[
             cond = F.col("__at").eqNullSafe(F.col("__newest"))
             for k in keys:
                 cond = cond & F.col(k).eqNullSafe(F.col(f"__n_{k}"))
-            side = side.join(newest, cond).select(*cols).distinct()
+            side = side.join(newest, cond).select(*cols)
         sides.append(side.withColumn("__side", F.lit(tag).cast("long")))
     content = sides[0].unionAll(sides[1]).groupBy(*cols).agg(F.sum("__side").alias("__n"), F.max("__side").alias("__hi"), F.min("__side").alias("__lo"))
     held = content.groupBy(*keys).agg((F.max("__hi") == 1).alias("__ka"), (F.min("__lo") == -1).alias("__kb"), F.sum(F.greatest("__n", F.lit(0))).alias("__na"), F.sum(F.greatest(-F.col("__n"), F.lit(0))).alias("__nb"))
@@ -197,16 +216,17 @@ def pair_copies(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequenc
     many = left.filter("__na > 1 OR __nb > 1")
     if many.isEmpty():
         return single
-    many = cut(many.withColumn("__row", F.xxhash64(*keys, *content)).withColumn("__key", F.xxhash64(*keys)))
+    many = cut(many.withColumn("__row", F.monotonically_increasing_id()))  # written, so ids stay
     bare = many.drop("__ka", "__kb")
     lone = many.filter("__na = 0 OR __nb = 0")
     both = bare.filter("__na > 0 AND __nb > 0")
+    assign = _pair_small(fields, grids)
     small = both.filter((F.col("__na") <= small_group) & (F.col("__nb") <= small_group))
-    pairs = small.groupBy("__key").applyInPandas(_pair_small(keys, fields, grids), T.StructType([T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType())]))
+    pairs = small.groupBy(*keys).applyInPandas(assign, _PAIR)
     large = both.filter((F.col("__na") > small_group) | (F.col("__nb") > small_group))
     if not large.isEmpty():
-        hashed = large.select("__row", "__key", "__n", *[F.xxhash64(F.col(c)).alias(f"__f{i}") for i, c in enumerate(content)])
-        pairs = pairs.unionAll(_pair_large(hashed, "__key", [f"__f{i}" for i in range(len(content))]))
+        hashes = _hashes(fields, grids)
+        pairs = pairs.unionAll(_pair_large(large.withColumns(hashes), keys, list(hashes), assign, small_group))
     unit = lone.withColumn("__u", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__n"))))
     pairs = pairs.unionAll(unit.select(F.when(F.col("__n") > 0, F.col("__row")).alias("__a"), F.when(F.col("__n") < 0, F.col("__row")).alias("__b")))
     value = many.select("__row", F.struct(*keys).alias("__keys"), F.struct("__ka", "__kb").alias("__in"), whole.alias("__v"))
@@ -242,13 +262,19 @@ def _positions(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (both > 0), F.flatten(per_row))
 
 
+def _shape(g: Column) -> Column:
+    """Cells in each row as text (null row: -), null for a null grid."""
+    return F.concat_ws(",", F.transform(g, lambda r: F.when(r.isNull(), F.lit("-")).otherwise(F.size(r).cast("string")))).substr(F.lit(1), F.when(g.isNull(), None).otherwise(F.lit(1 << 30)))
+
+
 def diff_copies(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequence[str], grid: str | None = None, latest_by: str | None = None, small_group: int = 200, values: bool = False) -> DataFrame:
     """Report the differences of two copies.
 
     Columns: keys, ``diff_kind``, ``cell_row``, ``cell_col`` (-1 unless the kind is ``cell``)
     and, with ``values``, both values as strings. Kinds: ``only_a``/``only_b`` (the key is in
     one copy only, one row a key), ``extra_a``/``extra_b`` (a shared key of which one copy
-    holds more rows, one row each), the name of a scalar field that differs, and ``cell``.
+    holds more rows, one row each; not with ``latest_by``), the name of a scalar field that
+    differs, ``<grid>_shape`` and ``cell``.
     """
     grids = [grid] if grid else []
     p = pair_copies(a, b, keys, fields, grids, latest_by, small_group)
@@ -269,9 +295,12 @@ def diff_copies(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequenc
     if grid:
         x, y = F.col(f"__a.{grid}"), F.col(f"__b.{grid}")
         at = lambda g, s: F.get(F.get(g, s["cell_row"]), s["cell_col"])
+        made.append(F.when(both & ~_shape(x).eqNullSafe(_shape(y)), F.array(item(F.lit(f"{grid}_shape"), no, no, _shape(x), _shape(y)))))
         made.append(F.when(both, F.transform(_positions(x, y), lambda s: item(F.lit("cell"), s["cell_row"], s["cell_col"], at(x, s), at(y, s)))))
     empty = F.array().cast("array<struct<diff_kind:string,cell_row:int,cell_col:int,value_a:string,value_b:string>>")
     out = p.select(*keys, F.explode(F.concat(*[F.coalesce(m, empty) for m in made])).alias("__d"))
     out = out.select(*keys, "__d.diff_kind", "__d.cell_row", "__d.cell_col", *(["__d.value_a", "__d.value_b"] if values else []))
+    if latest_by:
+        out = out.filter(~F.col("diff_kind").isin("extra_a", "extra_b"))
     lone = out.diff_kind.isin("only_a", "only_b")
     return out.filter(~lone).unionAll(out.filter(lone).dropDuplicates([*keys, "diff_kind"]))
