@@ -300,7 +300,7 @@ def diff_copies(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequenc
     empty = F.array().cast("array<struct<diff_kind:string,cell_row:int,cell_col:int,value_a:string,value_b:string>>")
     out = p.select(*keys, F.explode(F.concat(*[F.coalesce(m, empty) for m in made])).alias("__d"))
     out = out.select(*keys, "__d.diff_kind", "__d.cell_row", "__d.cell_col", *(["__d.value_a", "__d.value_b"] if values else []))
-    if latest_by:
-        out = out.filter(~F.col("diff_kind").isin("extra_a", "extra_b"))
+    if latest_by:  # repeats of the newest row on both sides say the same again
+        return out.filter(~F.col("diff_kind").isin("extra_a", "extra_b")).distinct()
     lone = out.diff_kind.isin("only_a", "only_b")
     return out.filter(~lone).unionAll(out.filter(lone).dropDuplicates([*keys, "diff_kind"]))

@@ -59,6 +59,8 @@ def test_latest_counts_and_repeats_do_not(spark):
     a = [(1, "x", 1, None, t(2020, 1, 1)), (1, "x", 5, None, t(2020, 1, 2)), (1, "x", 5, None, t(2020, 1, 2)), (1, "x", 7, None, None)]
     b = [(1, "x", 5, None, t(2021, 1, 1)), (1, "x", 1, None, t(2020, 1, 1))]
     assert run(spark, a, b, latest_by="at") == []
+    twice = [(1, "x", 6, [["q"]], t(2022, 1, 1))] * 2
+    assert run(spark, a + [(1, "x", 7, [["p"]], t(2022, 1, 1))] * 2, b + twice, latest_by="at") == [(1, "x", "cell", 0, 0), (1, "x", "n", -1, -1)]
 
 
 def test_large_group_pairs_everything(spark):
