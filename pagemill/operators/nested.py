@@ -3,8 +3,8 @@
 ``flatten_records`` visits each payload depth first, once, and emits a tagged row for every
 object in the nested lists ``blocks`` > ``lines`` > ``spans`` > ``chars``: table tag, primary
 key (the path of positions), parent key and the object's own fields as payload.
-``flat_tables`` writes the rows partitioned by tag and applies each table's schema;
-``apply_schema`` does the same for one tag without the write.
+``write_tagged`` writes the rows partitioned by tag; ``apply_schema`` makes the typed table of a
+tag, ``flat_tables`` all four from one write.
 
 Defined results for unusual input:
 
@@ -15,7 +15,8 @@ Defined results for unusual input:
 * an envelope, however deep: the first object inside, depth first, that holds ``blocks`` is
   the record; further ones beside it have no nodes, as paths begin at a block and would clash;
 * boxes as ``[x0,y0,x1,y1]`` or ``{"x0":..}``, numbers as strings: brought to one form; what
-  does not fit a column's type becomes null there and stays in ``extra``;
+  does not fit a column's type becomes null there; it and fields without a column are in
+  ``extra`` as JSON;
 * lone surrogates in escapes: U+FFFD; repeated payloads: repeated rows, one set a ``rec_id``;
 * further input columns, whatever their names: ignored.
 
@@ -44,7 +45,10 @@ SCHEMAS = {
     "span": f"text string, font string, size double, flags int, color int, alpha int, {BOX}",
     "char": f"c string, fontId int, {BOX}",
 }
-TAGGED = "rec_id long, node_kind string, node_path string, parent_path string, payload string"
+TAGGED = "rec_id long, node_kind string, node_path string, parent_path string, payload string, extra string"
+_TYPES = {kind: {n: t for n, t in (f.strip().split(" ") for f in ddl.split(", "))} for kind, ddl in SCHEMAS.items()}
+_CHILD = {kind: name for (kind, _), (_, name) in zip(LEVELS, LEVELS[1:], strict=False)}
+_CORNERS = ("x0", "y0", "x1", "y1")
 
 
 def _no_constant(name: str):
@@ -99,60 +103,74 @@ def _clean(s: str) -> str:
     return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in s) else s
 
 
-def _own(kind: str, node: dict) -> str:
-    """The node's own fields as JSON, the child list left out, the box in one form."""
-    child = {k: n for (k, _), (_, n) in zip(LEVELS, LEVELS[1:], strict=False)}.get(kind)
-    own = {k: v for k, v in node.items() if k not in (child, "bbox")}
-    box = node.get("bbox")
-    if isinstance(box, list):
-        own |= dict(zip(("x0", "y0", "x1", "y1"), box, strict=False))
-    elif isinstance(box, dict):
-        own |= {k: box[k] for k in ("x0", "y0", "x1", "y1") if k in box}
+def _fits(v, typ: str) -> bool:
+    """Whether a value can stand in a column of the type; null and any text can."""
+    if v is None or typ == "string":
+        return True
+    if typ == "boolean":
+        return isinstance(v, bool) or (isinstance(v, str) and v.strip().lower() in ("true", "false"))
+    if typ.startswith("array"):
+        return isinstance(v, list) and all(_fits(x, "double") for x in v)
+    if isinstance(v, bool) or not isinstance(v, int | float | str):
+        return False
+    try:
+        x = float(v)
+    except (ValueError, OverflowError):
+        return False
+    return typ != "int" or abs(x) < 2**31
+
+
+def _text(own: dict) -> str:
     text = json.dumps(own)
     return _clean(json.dumps(own, ensure_ascii=False)) if "\\ud" in text else text
 
 
-def _tagged(with_payload: bool, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, kinds, paths, parents, owns = [], [], [], [], []
-
-        def flush():
-            cols = [pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(paths, pa.string())]
-            if with_payload:
-                cols += [pa.array(parents, pa.string()), pa.array(owns, pa.string())]
-            return pa.RecordBatch.from_arrays(cols, schema=schema)
-
-        for batch in batches:
-            for rec_id, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                record = find_record(parse_record(payload.as_py()))
-                if record is None:
-                    continue
-                for kind, path, parent, node in visit(record):
-                    ids.append(rec_id)
-                    kinds.append(kind)
-                    paths.append(path)
-                    if with_payload:
-                        parents.append(parent)
-                        owns.append(_own(kind, node))
-                    if len(ids) >= BATCH_ROWS:
-                        yield flush()
-                        for c in (ids, kinds, paths, parents, owns):
-                            c.clear()
-        if ids:
-            yield flush()
-
-    return run
-
-
-def flatten_records(df: DataFrame, id_col: str = "rec_id", payload_col: str = "payload", with_payload: bool = True) -> DataFrame:
-    """Tagged rows of all nodes: rec_id, node_kind, node_path, and with ``with_payload`` also
-    parent_path (null for blocks) and payload (the node's own fields as JSON)."""
-    names = ["rec_id", "node_kind", "node_path", *(["parent_path", "payload"] if with_payload else [])]
-    schema = pa.schema([(n, pa.int64() if n == "rec_id" else pa.string()) for n in names])
-    ddl = ", ".join(f"{n} {'long' if n == 'rec_id' else 'string'}" for n in names)
-    return df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(payload_col).cast("string").alias("payload")).mapInArrow(_tagged(with_payload, schema), ddl)
+def _own(kind: str, node: dict) -> tuple[str, str | None]:
+    """The node's own fields as JSON, the child list left out and the box in one form, and what
+    of it no column of its table takes."""
+    child, types = _CHILD.get(kind), _TYPES[kind]
+    own = {k: v for k, v in node.items() if k not in (child, "bbox")}
+    box = node.get("bbox")
+    if isinstance(box, list) and len(box) == 4:
+        own |= dict(zip(_CORNERS, box, strict=True))
+    elif isinstance(box, dict) and not box.keys() - set(_CORNERS):
+        own |= box
+    elif box is not None:
+        own["bbox"] = box
+        if isinstance(box, list | dict):  # what there is of the corners
+            own |= dict(zip(_CORNERS, box, strict=False)) if isinstance(box, list) else {k: box[k] for k in _CORNERS if k in box}
+    extra = {k: v for k, v in own.items() if k not in types or not _fits(v, types[k])}
+    return _text(own), _text(extra) if extra else None
+
+
+_ARROW = pa.schema([("rec_id", pa.int64()), *[(n, pa.string()) for n in ("node_kind", "node_path", "parent_path", "payload", "extra")]])
 
 
+def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+
+    def flush():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+
+    for batch in batches:
+        for rec_id, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            record = find_record(parse_record(payload.as_py()))
+            if record is None:
+                continue
+            for kind, path, parent, node in visit(record):
+                rows.append((rec_id, kind, path, parent, *_own(kind, node)))
+                if len(rows) >= BATCH_ROWS:
+                    yield flush()
+                    rows.clear()
+    if rows:
+        yield flush()
+
+
+def flatten_records(df: DataFrame, id_col: str = "rec_id", payload_col: str = "payload") -> DataFrame:
+    """Tagged rows of all nodes: rec_id, node_kind, node_path, parent_path (null for blocks),
+    payload (the node's own fields as JSON) and extra (what no column of its table takes)."""
+    return df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(payload_col).cast("string").alias("payload")).mapInArrow(_tagged, TAGGED)
+
 
 def apply_schema(tagged: DataFrame, kind: str) -> DataFrame:
     """The flat table of one tag: rec_id, its key, its parent's key and typed columns."""
@@ -171,16 +189,21 @@ def apply_schema(tagged: DataFrame, kind: str) -> DataFrame:
             col = raw.try_cast(typ)
         cols.append(col.alias(name))
     parent = {"block": [], "line": [F.col("parent_path").alias("block_path")], "span": [F.col("parent_path").alias("line_path")], "char": [F.col("parent_path").alias("span_path")]}[kind]
-    return rows.select("rec_id", F.col("node_path").alias(f"{kind}_path"), *parent, F.element_at(F.split("node_path", "/"), -1).cast("int").alias("position"), *cols)
+    return rows.select("rec_id", F.col("node_path").alias(f"{kind}_path"), *parent, F.element_at(F.split("node_path", "/"), -1).cast("int").alias("position"), *cols, "extra")
 
 
-def flat_tables(df: DataFrame, id_col: str = "rec_id", payload_col: str = "payload", path: str | None = None) -> dict[str, DataFrame]:
-    """One pass over the payloads: write the tagged rows partitioned by tag, then read each
-    partition as its typed table. ``path`` defaults to the shared checkpoint folder."""
+def write_tagged(df: DataFrame, id_col: str = "rec_id", payload_col: str = "payload", path: str | None = None) -> DataFrame:
+    """One pass over the payloads: the tagged rows written partitioned by tag, and read back.
+    ``path`` defaults to the shared checkpoint folder."""
     import uuid
 
     spark = df.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/flat-{uuid.uuid4().hex}"
     flatten_records(df, id_col, payload_col).write.mode("overwrite").partitionBy("node_kind").parquet(path)
-    tagged = spark.read.schema(TAGGED).parquet(path)
+    return spark.read.schema(TAGGED).parquet(path)
+
+
+def flat_tables(df: DataFrame, id_col: str = "rec_id", payload_col: str = "payload", path: str | None = None) -> dict[str, DataFrame]:
+    """The four typed tables, each read from its partition of one write."""
+    tagged = write_tagged(df, id_col, payload_col, path)
     return {kind: apply_schema(tagged, kind) for kind, _ in LEVELS}

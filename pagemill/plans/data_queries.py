@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.diff import diff_copies
-from pagemill.operators.nested import apply_schema, flatten_records
+from pagemill.operators.nested import flat_tables, write_tagged
 from pagemill.session import table
 
 TABLE_KEY = ("doc_id", "config", "page", "table_no")
@@ -22,12 +22,15 @@ def p1_all_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return flatten_records(table(spark, d, "page_dicts"), with_payload=False)
+    return write_tagged(table(spark, d, "page_dicts")).select("rec_id", "node_kind", "node_path")
 
 
 def _p4(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return apply_schema(flatten_records(table(spark, d, "page_dicts")), kind)
+        t = flat_tables(table(spark, d, "page_dicts"))[kind]
+        if kind == "line":
+            t = t.withColumns({"dir_x": F.get("dir", F.lit(0)), "dir_y": F.get("dir", F.lit(1))}).drop("dir")
+        return t.drop("extra")
 
     run.__name__ = f"p4_{kind}s"
     return run
@@ -90,6 +93,8 @@ ORACLES = {
     "p1_found": _P1,
     "p4_found": _P4,
     "p4_blocks": _nodes() + f"SELECT rec_id, path AS block_path, {_POSITION}, {_num('type', 'INTEGER')} AS type, {_num('number', 'INTEGER')} AS number, TRY_CAST(json_extract_string(o, '$.isrect') AS BOOLEAN) AS isrect, {_box()} FROM n0",
+    "p4_lines": _nodes()
+    + f"SELECT rec_id, path AS line_path, {_PARENT} AS block_path, {_POSITION}, {_num('wmode', 'INTEGER')} AS wmode, {_num('dir[0]', 'DOUBLE')} AS dir_x, {_num('dir[1]', 'DOUBLE')} AS dir_y, {_box()} FROM n1",
     "p4_spans": _nodes()
     + f"SELECT rec_id, path AS span_path, {_PARENT} AS line_path, {_POSITION}, json_extract_string(o, '$.text') AS text, json_extract_string(o, '$.font') AS font, {_num('size', 'DOUBLE')} AS size, {_num('flags', 'INTEGER')} AS flags, {_num('color', 'INTEGER')} AS color, {_num('alpha', 'INTEGER')} AS alpha, {_box()} FROM n2",
     "p4_chars": _nodes() + f"SELECT rec_id, path AS char_path, {_PARENT} AS span_path, {_POSITION}, json_extract_string(o, '$.c') AS c, {_num('fontId', 'INTEGER')} AS \"fontId\", {_box()} FROM n3",

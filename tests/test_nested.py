@@ -8,7 +8,7 @@ def make(spark, payloads):
 
 
 def found(spark, payloads):
-    return sorted(map(tuple, flatten_records(make(spark, payloads), with_payload=False).collect()))
+    return sorted(map(tuple, flatten_records(make(spark, payloads)).select("rec_id", "node_kind", "node_path").collect()))
 
 
 FULL = {"blocks": [None, {"bbox": [1, 2, 3, 4], "lines": [{"bbox": {"x0": 1, "y0": 2, "x1": 3, "y1": "4"}, "spans": {"text": "ab", "size": "11.0", "chars": [{"c": "a", "bbox": [1, 2, 3, 4]}, None, 7, {"c": "\ud800"}]}}, None]}]}
@@ -44,6 +44,16 @@ def test_misfit_becomes_null(spark):
     bad = {"blocks": [{"number": "seven", "bbox": "none", "type": 1.0}]}
     r = apply_schema(flatten_records(make(spark, [json.dumps(bad)])), "block").first()
     assert (r.number, r.x0, r.type) == (None, None, 1)
+    assert json.loads(r.extra) == {"number": "seven", "bbox": "none"}
+
+
+def test_nothing_is_lost(spark):
+    doc = {"blocks": [{"number": "3x", "mood": {"a": [1, None]}, "lines": [{"spans": [{"text": 5, "size": True, "bbox": [1, 2], "chars": [{"c": "a", "fontId": 2**40}]}], "dir": ["x", 0]}]}]}
+    t = {k: v.first() for k, v in flat_tables(make(spark, [json.dumps(doc)])).items()}
+    assert json.loads(t["block"].extra) == {"number": "3x", "mood": {"a": [1, None]}} and t["block"].number is None
+    assert json.loads(t["span"].extra) == {"size": True, "bbox": [1, 2]} and (t["span"].text, t["span"].x0, t["span"].x1) == ("5", 1.0, None)
+    assert json.loads(t["line"].extra) == {"dir": ["x", 0]} and json.loads(t["char"].extra) == {"fontId": 2**40}
+    assert (t["char"].c, t["char"].span_path, t["span"].line_path) == ("a", "0/0/0", "0/0")
 
 
 def test_very_long_payload(spark):
@@ -53,7 +63,7 @@ def test_very_long_payload(spark):
 
 def test_deep_envelopes_and_several_records(spark):
     deep = FULL
-    for k in range(40):
+    for k in range(50):
         deep = {"x": 1, f"e{k}": [deep]}
     want = found(spark, [json.dumps(FULL)])
     assert want and found(spark, [json.dumps(deep)]) == want
