@@ -13,8 +13,10 @@ Defined results for unusual input:
 
 * null or empty text, or a profile without limits: no pieces;
 * a text within the limit: one piece, ``cut_kind`` ``whole``;
-* a longer text is ``forced`` if it holds a stretch of more than max_chars characters without
-  space, tab, CR or LF, else ``natural``;
+* a longer text is ``forced`` if one of its cuts had to be made inside a stretch without space,
+  tab, CR or LF, which only stretches of more than max_chars characters need, else ``natural``;
+* a stretch that fits the limit but not together with the overlap stays whole: its overlap is
+  shortened to what fits;
 * an overlap that is negative counts as 0, one not under the limit as the limit less 1; a
   limit under 1 gives no pieces;
 * CR LF and a character with its combining marks are not parted where another place exists;
@@ -105,7 +107,29 @@ def _clean_place(text: str, at: int, low: int) -> int:
     return i if i > low + 1 or at == low + 1 else at
 
 
-def atoms(text: str, most: int) -> tuple[list[int], list[int]]:
+def _fitting(text: str, s: int, end: int, most: int, step: int) -> Iterator[tuple[int, int]]:
+    """Cuts (place, strength) inside text[s:end], a stretch with the white space around it, that
+    leave no part over ``most``. White space gives way first; only a stretch of more than
+    ``most`` characters is cut by force, into parts of ``step``, which leaves room for overlaps."""
+    a = s
+    while a < end and text[a] in " \t\r\n":
+        a += 1
+    b = a
+    while b < end and text[b] not in " \t\r\n":
+        b += 1
+    while s < a and b - s > most:
+        s = min(a, s + most)
+        yield s, WORD
+    if b - a > most:
+        while b - s > step:
+            s = _clean_place(text, s + step, s)
+            yield s, FORCED
+    while end - s > most:
+        s = max(b, s + most) if s < b else s + most
+        yield s, WORD
+
+
+def atoms(text: str, most: int, step: int | None = None) -> tuple[list[int], list[int]]:
     """Starts of the atomic segments, none longer than ``most``, and the strength before each."""
     lines = line_boundaries(text)
     starts, strengths = [0], [HEADING]
@@ -131,10 +155,10 @@ def atoms(text: str, most: int) -> tuple[list[int], list[int]]:
         end = starts[i + 1] if i + 1 < len(starts) else len(text)
         out.append(s)
         power.append(strengths[i])
-        while end - s > most:
-            s = _clean_place(text, s + most, s)
-            out.append(s)
-            power.append(FORCED)
+        if end - s > most:
+            for at, strength in _fitting(text, s, end, most, step or most):
+                out.append(at)
+                power.append(strength)
     return out, power
 
 
@@ -146,7 +170,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
     n = len(text)
     if n <= limit:
         return [(0, n, 0, HEADING)]
-    begin, power = atoms(text, limit - overlap)
+    begin, power = atoms(text, limit, limit - overlap)
     count = len(begin)
     end = [*begin[1:], n]
     right = [*range(1, count), -1]
@@ -174,21 +198,15 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
     pieces, before = [], 0
     for i in range(count):
         if alive[i]:
-            back = min(overlap, begin[i] - before) if i else 0
+            back = min(overlap, begin[i] - before, limit - (end[i] - begin[i])) if i else 0
             pieces.append((begin[i], end[i], back, power[i]))
             before = begin[i] - back
     return pieces
 
 
-def cut_kind(text: str, limit: int) -> str:
-    if len(text) <= limit:
-        return "whole"
-    last = 0
-    for m in _SPACE.finditer(text):
-        if m.start() - last > limit:
-            return "forced"
-        last = m.end()
-    return "forced" if len(text) - last > limit else "natural"
+def cut_kind(pieces: list[tuple[int, int, int, int]]) -> str:
+    """``whole``, ``natural``, or ``forced`` where a piece begins inside a stretch."""
+    return "whole" if len(pieces) < 2 else "forced" if any(p[3] == FORCED for p in pieces) else "natural"
 
 
 _OUT = "id long, profile string, piece_no int, n_pieces int, start_at int, end_at int, overlap int, boundary string, cut_kind string, piece string"
@@ -206,7 +224,7 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for i, profile, text, limit, overlap in zip(*(b.column(k) for k in range(5)), strict=True):
             text, limit = text.as_py(), limit.as_py()
             pieces = split_text(text, limit, overlap.as_py())
-            kind = cut_kind(text, limit)
+            kind = cut_kind(pieces)
             for k, (s, e, back, strength) in enumerate(pieces):
                 rows.append((i.as_py(), profile.as_py(), k, len(pieces), s, e, back, NAMES[strength] if k else "start", kind, text[s - back : e]))
                 chars += e - s + back

@@ -18,7 +18,9 @@ def check(text, limit, overlap):
         piece = text[s - back : e]
         assert 0 < len(piece) <= limit and e > s
         if k:
-            assert back == min(overlap, len(before)) and piece[:back] == before[len(before) - back :]
+            assert back == min(overlap, len(before), limit - (e - s)) and piece[:back] == before[len(before) - back :]
+            if back < min(overlap, len(before)):  # only for a stretch that leaves no room for all of it
+                assert max(map(len, re.split(r"[ \t\r\n]", text))) > limit - overlap or text[s:e].isspace() or text[s:e][0] in " \t\r\n" or text[s:e][-1] in " \t\r\n"
         before = piece
     return pieces
 
@@ -53,7 +55,15 @@ def test_crlf_and_marks_stay_together():
 @given(st.text(alphabet="ab \n\r\t ", max_size=80), st.integers(1, 20))
 def test_cut_kind(text, limit):
     want = "whole" if len(text) <= limit else "forced" if max(map(len, re.split(r"[ \t\r\n]", text))) > limit else "natural"
-    assert cut_kind(text, limit) == want
+    if text:
+        for overlap in (0, 1, limit // 2, limit):
+            assert cut_kind(split_text(text, limit, overlap)) == want
+
+
+def test_a_stretch_that_fits_is_not_cut():
+    text = "a " * 60 + "w" * 95 + " b" * 60
+    pieces = check(text, 100, 20)
+    assert all(s == 0 or text[s - 1] == " " for s, *_ in pieces) and cut_kind(pieces) == "natural"
 
 
 def test_operator(spark):
