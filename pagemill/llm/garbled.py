@@ -15,7 +15,7 @@ the end of a sequence) are reported and keep what is left of those characters; a
 ignored.
 
 Scale: pair counts go into tables of fixed size (2^18 pairs, 2^16 characters, hashed), summed
-by a partial aggregation, so what reaches the driver and is broadcast has a constant bound of
+by a partial aggregation over at most ``COUNT_TASKS`` tables, so what reaches the driver and is broadcast has a constant bound of
 about 3 MB whatever the corpus. The search is a narrow map, once per distinct value of a batch.
 """
 
@@ -80,6 +80,8 @@ def eight_bit(wrong: str, right: str) -> dict[int, str]:
 
 
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+#: a misread UTF-8 sequence has two non-ASCII characters in a row at least
+_TWO = re.compile("[^\x00-\x7f]{2}")
 _SURE = re.compile("[\x80-\x84\x86-\x9f�]")
 
 
@@ -112,6 +114,8 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
 
 
+#: tasks that count, at most: each sends one table, so what is shuffled is bounded
+COUNT_TASKS = 4096
 #: a restored character must stand in the corpus at least this often
 SEEN = 3
 
@@ -270,7 +274,7 @@ def _best(text: str, lo: int, hi: int, model: PairScores) -> tuple[float, str, s
 def _search(left: str, run: str, right: str, model: PairScores) -> tuple[float, str, str] | None:
     base = sum(model.scores(left + run + right))
     best = None
-    for new, how in _utf8_chains(run):
+    for new, how in _utf8_chains(run) if _TWO.search(run) else ():
         if not model.known(new):
             continue
         after = model.scores(left + new + right)
@@ -436,7 +440,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_pairs(df: DataFrame, text_cols: list[str]) -> PairScores:
     """Pair and character counts of all values of ``text_cols`` over all rows."""
-    counts = df.select(*[F.col(c).cast("string") for c in text_cols]).mapInArrow(_count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    counts = df.select(*[F.col(c).cast("string") for c in text_cols]).coalesce(COUNT_TASKS).mapInArrow(_count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     pairs, chars = np.zeros(1 << PAIR_BITS), np.zeros(1 << CHAR_BITS)
     got = counts.toPandas()  # at most 2^18 + 2^16 rows
     for kind, table in ((0, pairs), (1, chars)):
