@@ -21,20 +21,20 @@ def chars_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def links_of(spark: SparkSession, d: str) -> DataFrame:
-    """Links for the link join: on each page of a file with a url, over its first two spans."""
+    """Links for the link join: in files with a url, over every span that is not printed in black."""
     s = spans_of(spark, d)
     from pyspark.sql.window import Window
 
-    first = s.withColumn("link_seq", F.row_number().over(Window.partitionBy(*L.PAGE).orderBy("block", "line", "span")) - 1).filter("link_seq < 2")
+    inked = s.filter("color <> 0").withColumn("link_seq", F.row_number().over(Window.partitionBy(*L.PAGE).orderBy("block", "line", "span")) - 1)
     files = table(spark, d, "corpus_files").filter("url IS NOT NULL").select(F.col("doc_id").alias("__d"), F.col("url").alias("uri"))
-    return first.join(files, F.col("doc_id") == F.col("__d")).select(*L.PAGE, "link_seq", F.concat("uri", F.lit("#"), F.col("link_seq").cast("string")).alias("uri"), "x0", "y0", "x1", "y1")
+    return inked.join(files, F.col("doc_id") == F.col("__d")).select(*L.PAGE, "link_seq", F.concat("uri", F.lit("#"), F.col("link_seq").cast("string")).alias("uri"), "x0", "y0", "x1", "y1")
 
 
 def toc_of(spark: SparkSession, d: str) -> DataFrame:
     """An outline from the headings themselves: (doc_id, seq, level, title, 1-based page)."""
     s = spans_of(spark, d)
     h = L.heading_lines(s, L.heading_levels(L.size_histogram(s)))
-    return h.select("doc_id", (F.col("block") * 1000 + F.col("line")).alias("seq"), "level", F.substring("text", 1, 24).alias("title"), (F.col("page") + 1).alias("page"))
+    return h.select("doc_id", (F.col("block") * 1000 + F.col("line")).alias("seq"), "level", F.col("text").alias("title"), (F.col("page") + 1).alias("page"))
 
 
 def q_spans_from_chars(spark, d):
@@ -238,7 +238,7 @@ _LEVELS = "lv AS (SELECT * FROM (SELECT h.doc_id, size_r, CAST(dense_rank() OVER
 _HL = f"""sl AS (SELECT v.*, level FROM v LEFT JOIN lv ON v.doc_id = lv.doc_id AND CAST(floor(size + 0.5) AS INTEGER) = size_r),
 hl AS (SELECT {_L}, min(level) AS level, {_trim("string_agg(text, '' ORDER BY span)")} AS text FROM sl GROUP BY {_L} HAVING min(level) IS NOT NULL)"""
 _HEAD = f"{_S}, {_V}, {_HIST}, {_BODY}, {_LEVELS}, {_HL}"
-_TOC = f"{_HEAD}, toc AS (SELECT doc_id, block * 1000 + line AS seq, level, substr(text, 1, 24) AS title, page + 1 AS page FROM hl)"
+_TOC = f"{_HEAD}, toc AS (SELECT doc_id, block * 1000 + line AS seq, level, text AS title, page + 1 AS page FROM hl)"
 _BOLD, _ITAL, _MONO = "((flags & 16) <> 0 OR (char_flags & 8) <> 0)", "((flags & 2) <> 0)", "((flags & 8) <> 0)"
 
 
@@ -323,8 +323,8 @@ SELECT doc_id, page, vline, piece, string_agg(t, '' ORDER BY x0, block, line, sp
     "bullet_rewrite": f"""WITH {_S}, {_V}, u AS (SELECT * FROM v WHERE (substr(text, 1, 1) IN ({_BUL}) OR (unicode(text) BETWEEN 9632 AND 9727)) AND (length(text) = 1 OR substr(text, 2, 1) = ' '))
 SELECT {_K}, repeat(' ', CAST(greatest(0, floor((x0 - 50.0) / (CASE WHEN x1 > x0 THEN (x1 - x0) / length(text) ELSE size / 2 END) + 0.5)) AS INTEGER)) || '- ' || replace(regexp_replace(substr(text, 2), '^ +', ''), '  ', ' ') AS md FROM u""",
     "code_indent": f"WITH {_S} SELECT {_K}, repeat(' ', CAST(greatest(0, floor((x0 - 50.0) / (size * 0.5))) AS INTEGER)) || text AS code FROM s WHERE {_MONO} AND text IS NOT NULL",
-    "link_resolution": f"""WITH {_S}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY block, line, span) - 1 AS q FROM s),
-k AS (SELECT f.doc_id, f.page, q, url || '#' || q AS uri, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM f JOIN corpus_files USING (doc_id) WHERE q < 2 AND url IS NOT NULL)
+    "link_resolution": f"""WITH {_S}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY block, line, span) - 1 AS q FROM s WHERE color <> 0),
+k AS (SELECT f.doc_id, f.page, q, url || '#' || q AS uri, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM f JOIN corpus_files USING (doc_id) WHERE url IS NOT NULL)
 SELECT {", ".join("s." + x for x in _K.split(", "))}, '[' || {_trim("any_value(text)")} || '](' || arg_min(uri, q) || ')' AS md FROM s JOIN k ON s.doc_id = k.doc_id AND s.page = k.page AND cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1 GROUP BY {", ".join("s." + x for x in _K.split(", "))}""",
     "toc_page_join": f"WITH {_TOC} SELECT doc_id, page - 1 AS page, count(*) AS n_entries, string_agg(level || ':' || title, '|' ORDER BY seq, level, title) AS entries FROM toc GROUP BY doc_id, page - 1",
     "broken_font_stats": f"""WITH {_C}, k AS (SELECT font, font_id, c, regexp_matches(c, '{_CTRL}') AS ctl, regexp_matches(c, '{_CTRL}|[\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}]') AS bad FROM c WHERE c IS NOT NULL),

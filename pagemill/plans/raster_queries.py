@@ -21,7 +21,8 @@ def drawn(spark, d):
     def run(doc, page, edges, words):
         right = max((x["hi"] for x in edges if x["kind"] == "h"), default=50) + 20
         bottom = max((x["hi"] for x in edges if x["kind"] == "v"), default=50) + 20
-        chars = [(x["x0"] + 5 * k, x["y0"], x["x0"] + 5 * k + 5, x["y1"], c) for x in words or () for k, c in enumerate(x["text"][:9])]
+        step = [min(5.0, (x["x1"] - x["x0"]) / max(len(x["text"]), 1)) for x in words or ()]  # the whole text inside its cell
+        chars = [(x["x0"] + s * k, x["y0"], x["x0"] + s * k + s, x["y1"], c) for x, s in zip(words or (), step, strict=True) for k, c in enumerate(x["text"])]
         r = R.render(right, bottom, [(x["kind"], x["pos"] + 10 * (x["kind"] == "h"), x["lo"] + 10 * (x["kind"] == "v"), x["hi"] + 10 * (x["kind"] == "v"), 1.0) for x in edges], [(a, b + 10, c, e + 10, t) for a, b, c, e, t in chars], (), SCALE)
         yield doc, page, r.width, r.height, SCALE, r.gray.tobytes()
 
