@@ -337,6 +337,9 @@ SELECT {_K}, length(t) = 0 OR regexp_matches(text, '{_ODD}') OR (length(t) >= 4
 g AS (SELECT {_K}, len(t) AS n, len(list_filter(t, lambda x: regexp_matches(regexp_replace(x, '^[\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]+$', '', 'g'), '^(\p{{N}}[\p{{N}}.,:/-]*|\p{{L}}{{2,}}([-''’]\p{{L}}+)*)$'))) AS g FROM k)
 SELECT {_K}, CASE WHEN n > 0 THEN (g - (n - g) * 0.5) / n ELSE 0.0 END AS score FROM g""",
     "strip_leaders": r"""SELECT DISTINCT md_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(md_string, '[.·…•_][ \t]*[.·…•_][ \t]*[.·…•_][.·…•_ \t]*', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM page_markdown WHERE md_string IS NOT NULL""",
+    "markdown_sections": rf"""WITH m AS (SELECT DISTINCT md_id, md_string FROM page_markdown WHERE md_string IS NOT NULL),
+p AS (SELECT md_id, md_string, list_filter(string_split(regexp_replace(md_string, '(^|[\n\r\x{{85}}\x{{2028}}\x{{2029}}])(#{{1,3}} )', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: NOT regexp_matches(x, '^{_TRIM}*$')) AS parts FROM m)
+SELECT md_id, CAST(unnest(range(len(parts))) AS INTEGER) AS section, unnest(parts) AS text FROM p""",
     "page_cleanup": r"""SELECT DISTINCT md_id, replace(regexp_replace(replace(replace(replace(replace(replace(md_string, ' ' || chr(10), chr(10)), '  ', ' '), chr(10) || chr(10) || chr(10), chr(10) || chr(10)), ' ,', ','), '-' || chr(10), ''), '^\n+', ''), chr(0), chr(65533)) AS text FROM page_markdown WHERE md_string IS NOT NULL""",
     "join_cell_lines": r"""SELECT doc_id, replace(regexp_replace(regexp_replace(text, '(\p{L}-)\n(\p{L})', '\1\2', 'g'), '(\p{L}-)\n(\p{L})', '\1\2', 'g'), chr(10), ' ') AS text FROM documents WHERE text IS NOT NULL""",
     "escape_cell": "SELECT DISTINCT md_id, replace(md_string, '|', chr(92) || '|') AS text FROM page_markdown WHERE md_string IS NOT NULL AND NOT contains(md_string, chr(92)) UNION ALL SELECT DISTINCT md_id, regexp_replace(regexp_replace(md_string, '(\\\\+)(\\||$)', '\\1\\1\\2', 'g'), '\\|', '\\\\|', 'g') FROM page_markdown WHERE contains(md_string, chr(92))",

@@ -219,6 +219,10 @@ UNION ALL SELECT doc_id, seq, 'h', y0, x0, x1, 0.0 FROM e WHERE h > 3 AND w > 3
 UNION ALL SELECT doc_id, seq, 'v', x0, y0, y1, 0.0 FROM e WHERE h > 3 AND w > 3 UNION ALL SELECT doc_id, seq, 'v', x1, y0, y1, 0.0 FROM e WHERE h > 3 AND w > 3)"""
 
 ORACLES = {
+    "table_cells": f"""WITH {_T}, p AS (SELECT *, coalesce(sum(nr + 3) OVER (PARTITION BY doc_id, page ORDER BY config NULLS FIRST, table_no NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 12.0 AS top FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY top) - 1 AS no FROM p WHERE nr >= 2 AND nc >= 2),
+r AS (SELECT doc_id, page, no, top, nc, cells, unnest(range(nr)) AS i FROM k), c AS (SELECT doc_id, page, no, top, cells, i, unnest(range(nc)) AS j FROM r)
+SELECT doc_id, page, CAST(no AS INTEGER) AS table_no, CAST(i AS INTEGER) AS row, CAST(j AS INTEGER) AS col, 50 + j * 60.0::DOUBLE AS x0, top + i * 12.0::DOUBLE AS y0, 110 + j * 60.0::DOUBLE AS x1, top + i * 12.0::DOUBLE + 12 AS y1, coalesce(trim(cells[i + 1][j + 1]), '') AS text FROM c""",
     "find_tables": f"WITH {_T} SELECT doc_id, page, CAST(sum(nr * nc) FILTER (nr >= 2 AND nc >= 2) AS BIGINT) AS n_cells, count(*) FILTER (nr >= 2 AND nc >= 2) AS n_tables, CAST(sum(len(list_filter(flatten(cells), lambda x: x <> ''))) FILTER (nr >= 2 AND nc >= 2) AS BIGINT) AS n_filled FROM t GROUP BY doc_id, page HAVING count(*) FILTER (nr >= 2 AND nc >= 2) > 0",
     "table_markdown": f"""SELECT {_KEY}, '|' || array_to_string(list_transform(cells[1], lambda x: coalesce(replace(replace(x, chr(10), '<br>'), '|', chr(92) || '|'), '')), '|') || '|' || chr(10) || '|' || repeat('---|', len(cells[1]))
 || array_to_string(list_transform(cells[2:], lambda r: chr(10) || '|' || array_to_string(list_transform(r, lambda x: coalesce(replace(replace(x, chr(10), '<br>'), '|', chr(92) || '|'), '')), '|') || '|'), '') || chr(10) || chr(10) AS markdown FROM ({_run('a')}) WHERE len(cells) > 0""",
@@ -229,6 +233,13 @@ ORACLES = {
     "cell_text": f"WITH {_HELD}, ln AS (SELECT doc_id, page, row, col, block, line, string_agg(c, '' ORDER BY seq) AS t FROM hd GROUP BY ALL) SELECT doc_id, page, row, col, string_agg(t, chr(10) ORDER BY block, line) AS text FROM ln GROUP BY ALL",
     "segment_edges": f"WITH {_R}, p AS (SELECT *, x1 - x0 AS dx, seq * 0.2::DOUBLE AS dy FROM q) SELECT doc_id, seq, 'h' AS kind, (y0 + (y0 + dy)) / 2 AS pos, x0 AS lo, x1 AS hi FROM p WHERE dx >= 1 AND (y0 + dy) - y0 <= greatest(0.5, dx * 0.008726867790758789) AND dx >= (y0 + dy) - y0 UNION ALL SELECT doc_id, seq, 'v', (x0 + x1) / 2, y0, y0 + dy FROM p WHERE (y0 + dy) - y0 >= 1 AND dx <= greatest(0.5, ((y0 + dy) - y0) * 0.008726867790758789) AND (y0 + dy) - y0 > dx",
     "rect_edges": f"WITH {_R}, {_EDGES} SELECT * FROM f",
+    "component_edges": f"""WITH RECURSIVE {_R}, {_EDGES}, d AS (SELECT DISTINCT doc_id, kind, pos, lo, hi FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, pos, lo, hi) AS id, CASE kind WHEN 'h' THEN lo ELSE pos - 1 END AS x0, CASE kind WHEN 'h' THEN hi ELSE pos + 1 END AS x1, CASE kind WHEN 'h' THEN pos - 1 ELSE lo END AS y0, CASE kind WHEN 'h' THEN pos + 1 ELSE hi END AS y1 FROM d),
+m AS (SELECT a.doc_id, a.id AS a, b.id AS b FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+w AS (SELECT doc_id, id AS root, id FROM n UNION SELECT w.doc_id, w.root, m.b FROM w JOIN m ON m.doc_id = w.doc_id AND m.a = w.id),
+c AS (SELECT doc_id, id, min(root) AS root FROM w GROUP BY doc_id, id),
+g AS (SELECT n.*, root, count(*) FILTER (kind = 'h') OVER z AS nh, count(*) FILTER (kind = 'v') OVER z AS nv FROM n JOIN c USING (doc_id, id) WINDOW z AS (PARTITION BY doc_id, root))
+SELECT doc_id, CAST(0 AS INTEGER) AS page, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY root) - 1 AS INTEGER) AS component, kind, pos, lo, hi FROM g WHERE nh >= 2 AND nv >= 2""",
     "image_dedupe": f"WITH {_R}, s AS (SELECT * FROM q WHERE x0 < x1 AND y0 < y1) SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY (x1 - x0) * (y1 - y0) DESC, seq) - 1 AS INTEGER) AS number FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE {_IN})",
     "table_containment": f"WITH {_R} SELECT doc_id, seq FROM q a WHERE EXISTS (SELECT 1 FROM q b WHERE {_IN})",
     "text_over_tables_anti": f"WITH {_R} SELECT doc_id, seq FROM q a WHERE seq % 2 = 1 AND NOT EXISTS (SELECT 1 FROM q b WHERE b.doc_id = a.doc_id AND b.seq % 2 = 0 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)",

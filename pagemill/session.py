@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
     On a cluster the setting must be there. Only a session whose master is ``local``
-    gets a folder of its own when it is unset.
+    gets a folder of its own when it is unset, removed when the process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="pagemill-")
+        own_dir = tempfile.mkdtemp(prefix="pagemill-")
+        atexit.register(shutil.rmtree, own_dir, ignore_errors=True)
+        named = "file://" + own_dir
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
