@@ -89,12 +89,10 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     """Figures of windows of unseen newspapers against their weak labels: with all rules, and
-    for each third of the rules left out."""
+    with the first third of the rules left out."""
     documents = table(spark, d, "documents")
     rows = [("all rules", *fit_model(documents)[1].values())]
-    for k in range(3):
-        figures = fit_model(documents, skip=frozenset(RULE_NAMES[k::3]))[1]
-        rows.append((f"without third {k + 1}", *figures.values()))
+    rows.append(("without a third", *fit_model(documents, skip=frozenset(RULE_NAMES[::3]))[1].values()))
     return spark.createDataFrame(rows, "rules string, train_windows double, held_windows double, held_positive double, held_unlisted double, precision double, recall double, recall_unlisted double")
 
 
