@@ -130,11 +130,12 @@ def explicit_cells(grids: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
 
 def chars_in_cells(chars: DataFrame, cells: DataFrame) -> DataFrame:
-    """Characters with the cell that holds their centre, half-open."""
+    """Characters with the cell that holds their centre, half-open. Cells are never broadcast: a
+    page's grid makes rows times columns of them, which the optimizer's estimate leaves out."""
     b = cells.select(F.col("doc_id").alias("__d"), F.col("page").alias("__p"), "row", "col", *[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")])
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     inside = (cx >= F.col("__x0")) & (cx < F.col("__x1")) & (cy >= F.col("__y0")) & (cy < F.col("__y1"))
-    return chars.join(b, (F.col("doc_id") == F.col("__d")) & (F.col("page") == F.col("__p")) & inside).drop("__d", "__p", "__x0", "__y0", "__x1", "__y1")
+    return chars.join(b.hint("merge"), (F.col("doc_id") == F.col("__d")) & (F.col("page") == F.col("__p")) & inside).drop("__d", "__p", "__x0", "__y0", "__x1", "__y1")
 
 
 def cell_text(held: DataFrame) -> DataFrame:

@@ -120,3 +120,23 @@ def test_placement_and_containment(spark):
     got = {(r.table_no, r.seq) for r in B.table_before_line(t, ln, ["y0", "seq"]).collect()}
     assert (0, 0) in got and all(s == 0 for _, s in got)
     assert B.lines_beside(ln, t).count() == 3
+
+
+def test_char_in_cell_is_joined_by_page_without_broadcast(spark, tmp_path):
+    from pagemill.plans import layout_queries as Q
+    from pagemill.plans import table_queries as T
+
+    rng = random.Random(5)
+    box = "x0 double, y0 double, x1 double, y1 double, font string, font_id int, size double, color int, flags int, char_flags int"
+    put = lambda x, y: (x, y, x and x + 4.0, y and y + 8.0, rng.choice("FG"), 1, 8.0, 0, 0, 0)
+    chars = [(1 + k % 3, None if k % 50 == 7 else k % 2, k % 5, 0, k % 40, rng.choice(["a", "b", None]), *put(rng.choice([None, 5.0, 90.0, 200.0, float("nan")]), float(rng.randint(0, 300))), 1.0, 0.0) for k in range(600)]
+    spans = [(k, 1 + k % 3, k % 2, k % 8, 0, k % 2, rng.choice(["t", None]), *put(rng.choice([None, 0.0, 60.0, 150.0, 260.0]), float(rng.randint(0, 300))), k % 4) for k in range(200)]
+    spark.createDataFrame(chars, f"doc_id long, page int, block int, line int, seq int, c string, {box}, dir_x double, dir_y double").write.parquet(str(tmp_path / "chars.parquet"))
+    spark.createDataFrame(spans, f"span_id long, doc_id long, page int, block int, line int, span int, text string, {box}, loaded_at int").drop("font_id").write.parquet(str(tmp_path / "spans.parquet"))
+    d = str(tmp_path)
+    got = T.q_chars_in_cells(spark, d)
+    cells = [r for r in B.explicit_cells(T.page_grids(spark, d), 20.0).collect()]
+    want = [(*(r[k] for k in ("doc_id", "page", "block", "line", "seq")), c.row, c.col) for r in Q.chars_of(spark, d).collect() for c in cells if (r.doc_id, r.page) == (c.doc_id, c.page) and None not in (r.x0, r.y0) and c.x0 <= (r.x0 + r.x1) / 2 < c.x1 and c.y0 <= (r.y0 + r.y1) / 2 < c.y1]
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange") == 2 * (1 + ("Final Plan" in plan))
