@@ -19,6 +19,12 @@ def gathered(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str
     return df.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias(name))
 
 
+def rows_of(batch: pa.RecordBatch, at_once: int = 64) -> Iterator[tuple]:
+    """Rows as Python values, few at once: they take many times the room of their batch."""
+    for i in range(0, batch.num_rows, at_once):
+        yield from zip(*(c.to_pylist() for c in batch.slice(i, at_once).columns), strict=True)
+
+
 def fold(grouped: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str | T.StructType) -> DataFrame:
     """``fn(*columns of one row)`` yields output tuples; columns come as Python values."""
     struct = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -27,7 +33,7 @@ def fold(grouped: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str | T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row in rows_of(b):
                 rows.extend(fn(*row))
                 if len(rows) >= 50_000:
                     yield _batch(rows, arrow)

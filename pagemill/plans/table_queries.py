@@ -6,7 +6,7 @@ ruled grids of cells 60 wide and 12 high, orders' lines serve as rectangles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators import tables as B
@@ -18,23 +18,29 @@ from pagemill.session import table
 W, H = 60.0, 12.0
 
 
-def run_tables(spark: SparkSession, d: str, run: str = "a") -> DataFrame:
-    """Newest row of each table key; a page's tables of all configs get places of their own."""
+def run_tables(spark: SparkSession, d: str, run: str = "a", parts: int | None = None) -> DataFrame:
+    """Newest row of each table key; a page's tables of all configs get places of their own.
+    ``parts``: pages are spread over so many tasks from the start, however few bytes they have."""
     from pyspark.sql.window import Window
 
-    t = L.dedupe(table(spark, d, f"tables_run_{run}"), list(TABLE_KEY)).filter("cells IS NOT NULL AND size(cells) > 0")
+    t = table(spark, d, f"tables_run_{run}")
+    t = L.dedupe(t.repartition(parts, "doc_id", "page") if parts else t, list(TABLE_KEY)).filter("cells IS NOT NULL AND size(cells) > 0")
     w = Window.partitionBy("doc_id", "page").orderBy("config", "table_no")
     t = t.withColumn("place", F.row_number().over(w) - 1).withColumn("rows", F.size("cells")).withColumn("cols", F.array_max(F.transform("cells", F.size)))
     return t.withColumn("top", F.coalesce(F.sum(F.col("rows") + 3).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * H)
 
 
-def run_edges(spark, d, run="a") -> DataFrame:
-    t = run_tables(spark, d, run)
+def table_edges() -> Column:
+    """Rules around and between the cells of a row of ``run_tables``."""
     edge = lambda k, pos, lo, hi: F.struct(F.lit(k).alias("kind"), pos.alias("pos"), lo.alias("lo"), hi.alias("hi"))
     left, right, bottom = F.lit(50.0), F.lit(50.0) + F.col("cols") * W, F.col("top") + F.col("rows") * H
     h = F.transform(F.sequence(F.lit(0), F.col("rows")), lambda i: edge("h", F.col("top") + i * H, left, right))
     v = F.transform(F.sequence(F.lit(0), F.col("cols")), lambda i: edge("v", left + i * W, F.col("top"), bottom))
-    return t.select("doc_id", "page", F.explode(F.concat(h, v)).alias("e")).select("doc_id", "page", "e.*")
+    return F.concat(h, v)
+
+
+def run_edges(spark, d, run="a") -> DataFrame:
+    return run_tables(spark, d, run).select("doc_id", "page", F.explode(table_edges()).alias("e")).select("doc_id", "page", "e.*")
 
 
 def run_words(spark, d, run="a") -> DataFrame:

@@ -112,3 +112,37 @@ def test_ocr_operator(spark):
     assert {x.source for x in ocr_cells(cells, pages, Fake, "pdf").collect()} == {"pdf"} and ocr_cells(cells, pages, Fake, "ocr").filter(F.col("source") == "ocr").count() == 2
     with pytest.raises(ValueError):
         ocr_cells(cells, pages, Fake, "maybe")
+
+
+@pytest.mark.parametrize("name", ["raster_tables"])
+def test_pages_are_drawn_and_looked_at_in_one_step(spark, tmp_path, name):
+    import datetime
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    cells = [["a", "", "b" * 30], ["c", None], None, ["d", "e", "f"]]
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(d, "default", p, n, 4, 3, cells[: 2 + n] if n else cells, t0) for d in (1, 2, None) for p in (0, None) for n in range(3)]
+    rows += [(1, "default", 0, 0, 4, 3, [["old", "x"], ["y", "z"]], t0 - datetime.timedelta(1)), (3, "default", 0, 0, 0, 0, None, t0), (4, "default", 0, 0, 1, 1, [None], t0), rows[0]]
+    schema = "doc_id long, config string, page int, table_no int, n_rows int, n_columns int, cells array<array<string>>, loaded_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "tables_run_a.parquet"))
+    got = entry.queries()[name](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "data#" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
+    out = [tuple(r) for r in got.collect()]
+    if name in entry.oracle_sql():
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW tables_run_a AS FROM '{tmp_path}/tables_run_a.parquet/*.parquet'")
+        assert sorted(out, key=repr) == sorted(con.sql(entry.oracle_sql()[name]).fetchall(), key=repr)
+    assert {(r[0], r[1]) for r in out} == {(d, p) for d in (1, 2, None) for p in (0, None)}
+
+
+def test_rows_of_a_batch_come_few_at_once():
+    import pyarrow as pa
+
+    from pagemill.operators.pagewise import rows_of
+
+    b = pa.RecordBatch.from_pydict({"a": list(range(10)), "b": [[x] for x in range(10)]})
+    assert list(rows_of(b, 3)) == [(x, [x]) for x in range(10)] and list(rows_of(b.slice(0, 0))) == []
