@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import fix_homoglyphs
+from pagemill.operators.pagewise import _batch, rows_of
 from pagemill.operators.raster import PAD, WHITE, Raster, crop_lines
 
 
@@ -148,6 +149,17 @@ def ocr_cells(cells: DataFrame, rasters: DataFrame, factory: Callable[[], Engine
         return kept
     grouped = c.filter("__read").groupBy("doc_id", "page").agg(F.collect_list(F.struct(*_names(_CELL))).alias("cells"))
     todo = grouped.join(rasters.select("doc_id", "page", "width", "height", "scale", "data"), ["doc_id", "page"]).select("doc_id", "page", "cells", "width", "height", "scale", "data")
+
+    def page(doc, page, items, w, h, scale, data):
+        r = Raster(np.frombuffer(data, np.uint8).reshape(h, w), scale)
+        return doc, page, r, ((i["table_no"], i["row"], i["col"], (i["x0"], i["y0"], i["x1"], i["y1"]), i["text"]) for i in items)
+
+    return kept.unionByName(read_pages(todo, page, factory, mode))
+
+
+def read_pages(pages: DataFrame, page: Callable[..., tuple], factory: Callable[[], Engine], mode: str = "ocr") -> DataFrame:
+    """Texts of the cells that ``page(*columns of one row)`` gives with its raster: (doc_id, page,
+    raster, cells as (table_no, row, col, box, text)). One page's pixels are held at a time."""
     arrow = pa.schema([("doc_id", pa.int64()), *[(n, pa.int32()) for n in ("page", "table_no", "row", "col")], ("text", pa.string()), ("source", pa.string()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,19 +167,22 @@ def ocr_cells(cells: DataFrame, rasters: DataFrame, factory: Callable[[], Engine
         try:
             for b in batches:
                 rows = []
-                for doc, page, items, w, h, scale, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                    r = Raster(np.frombuffer(data, np.uint8).reshape(h, w), scale)
-                    for i in items:
-                        got = read_cell(engine(), r, (i["x0"], i["y0"], i["x1"], i["y1"]), i["text"], mode)
-                        rows.append((doc, page, i["table_no"], i["row"], i["col"], got.text, got.source, got.confidence))
+                for row in rows_of(b, 1):
+                    doc, no, raster, cells = page(*row)
+                    for t, r, c, box, text in cells:
+                        got = read_cell(engine(), raster, box, text, mode)
+                        rows.append((doc, no, t, r, c, got.text, got.source, got.confidence))
+                    if len(rows) >= 10_000:
+                        yield _batch(rows, arrow)
+                        rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+                    yield _batch(rows, arrow)
         finally:
             for e in engine.made:
                 if hasattr(e, "dispose"):
                     e.dispose()
 
-    return kept.unionByName(todo.mapInArrow(run, _OUT))
+    return pages.mapInArrow(run, _OUT)
 
 
 def _names(ddl: str) -> list[str]:

@@ -114,7 +114,7 @@ def test_ocr_operator(spark):
         ocr_cells(cells, pages, Fake, "maybe")
 
 
-@pytest.mark.parametrize("name", ["raster_tables", "raster_rules"])
+@pytest.mark.parametrize("name", ["raster_tables", "raster_rules", "raster_ocr"])
 def test_pages_are_drawn_and_looked_at_in_one_step(spark, tmp_path, name):
     import datetime
 
